@@ -53,19 +53,21 @@ def _repeat_words(words: Column, size: int) -> Column:
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns of COUNTS added (long)."""
+    """docs with the columns of COUNTS added (long).
+
+    The counts leave through a generator of one row: the optimizer doesn't copy expressions through it, so a
+    filter on them doesn't compute them again."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__words", words_of(whole))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(f"[^{WS}]"))
-    return out.withColumns(
-        {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(whole, f"[^{SYMBOLS}]+", "")).cast("long"),
-            "n_dup_lines": F.element_at(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 1).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("__words"), WINDOW),
-        }
-    ).drop("__words")
+    counts = {
+        "n_words": F.size("__words"),
+        "word_chars": F.length(F.array_join("__words", "")),
+        "n_symbols": F.length(F.regexp_replace(whole, f"[^{SYMBOLS}]+", "")),
+        "n_dup_lines": F.element_at(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 1),
+        "n_repeat_words": _repeat_words(F.col("__words"), WINDOW),
+    }
+    out = docs.withColumn("__words", words_of(whole))
+    return out.select("*", F.inline(F.array(F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))))).drop("__words")
 
 
 def base_failed() -> Column:
