@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, quality_rules, sentencepiece_bpe, url_rules, warc_zstd
+from tessera.llm import cross_polytope, language_id, packing, quality_rules, sentencepiece_bpe, url_rules, warc_zstd
 from tessera.llm.common import table
 
 
@@ -21,10 +21,20 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, url_rules.mine(pages, table(spark, sf_dir, "labels")))
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return cross_polytope.search(rows.where("vec_id % 20 = 0"), rows)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -41,7 +51,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_cross_polytope": op2_cross_polytope,
     "op3_warc": op3_warc,
+    "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
