@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import cross_polytope, language_id, packing, quality_rules, sentencepiece_bpe, url_rules, warc_zstd
+from tessera.llm import cross_polytope, language_id, near_dup, packing, quality_rules, sentencepiece_bpe, url_rules, warc_zstd
 from tessera.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_cross_polytope": op2_cross_polytope,
@@ -57,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_near_dup": op10_near_dup,
 }
 ORACLE_SQL: dict[str, str] = {"op3_warc": warc_zstd.ORACLE_SQL}
