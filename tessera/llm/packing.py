@@ -45,17 +45,26 @@ class Encoder:
         self.cache: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # A-Z are lower-cased by the tokenizer anyway; texts that may hold a special token are left as they are.
+        texts = [t if "<|" in t else t.encode().lower().decode() for t in texts]
         units = [t.replace("\n", " ").split(" ") for t in texts]
         if missing := set().union(*units) - self.cache.keys():
             if len(self.cache) + len(missing) > CACHE_UNITS:
                 self.cache = {"": b""}
                 missing = set().union(*units) - {""}
-            new = list(missing)
-            for u, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.cache[u] = np.array(e.ids, "<u4").tobytes()
+            self._learn(missing)
         get = self.cache.__getitem__
         return [b"".join(map(get, u)) for u in units]
 
+    def _learn(self, missing: set[str]) -> None:
+        # A comma or stop behind letters is a token of its own, so such a unit is its word and that sign.
+        cut = {u for u in missing if u[-1] in ",." and u[:-1].isalpha() and u[:-1].lower().isalpha() and max(u) < "\u0250"}
+        new = list((missing - cut).union(u[:-1] for u in cut).union(",.") - self.cache.keys())
+        for u, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.cache[u] = np.array(e.ids, "<u4").tobytes()
+        for u in cut:
+            self.cache[u] = self.cache[u[:-1]] + self.cache[u[-1]]
+
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
