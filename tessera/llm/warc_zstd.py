@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, new_path, shuffle_partitions
+from tessera.llm.common import materialize, new_path
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 28
@@ -215,7 +215,9 @@ def read(spark: SparkSession, index: DataFrame, out_dir: str) -> DataFrame:
                             rows.append(_rows(head, block))
                         yield _batch(rows)
 
-    bundles = index.select("bundle").distinct().repartition(shuffle_partitions(spark), "bundle")
+    bundles = index.select("bundle").distinct()
+    # Names are tiny, bundles are not: a task for each, which the adaptive planner must not join into one.
+    bundles = bundles.repartition(min(10_000, max(1, bundles.count())))
     return bundles.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
