@@ -1 +1 @@
-"""functions"""
+"""Scalar semantics that differ from Spark's own."""

@@ -1 +1 @@
-"""operators"""
+"""Table operators: change, constraints, retention, procedures."""

@@ -1 +1 @@
-"""sources"""
+"""Delimited files, change archives, row loaders and table functions."""

@@ -1 +1 @@
-"""streaming"""
+"""Continuous queries and event queues over change streams."""
