@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import cross_polytope, language_id, near_dup, packing, quality_rules, sentencepiece_bpe, url_rules, warc_zstd
+from tessera.llm import cross_polytope, language_id, near_dup, packing, quality_rules, sentencepiece_bpe, suffix_dedup, url_rules, warc_zstd
 from tessera.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
+    "op6_suffix_array": op6_suffix_array,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dup": op10_near_dup,
