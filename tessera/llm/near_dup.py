@@ -54,19 +54,20 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, skey (16 bytes that stand for the set) and sig of each row; both null for an empty set."""
+    """doc_id, tid (the text's hash), n_shingles, skey (16 bytes that stand for the set) and sig of each row; the last
+    two are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, keys, sigs = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 s = shingle_set(t.as_py())
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "skey", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "tid", "n_shingles", "skey", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, skey binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tid"), "text").mapInArrow(run, "doc_id long, tid long, n_shingles long, skey binary, sig binary")
 
 
 def index_keys(sig: np.ndarray, errors: int, chunks: int) -> np.ndarray:
@@ -262,6 +263,17 @@ def confirmed(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, percent:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
+    return _marked(docs, percent).drop("tid")
+
+
+def keep_one(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of docs that are kept. Rows that repeat both doc_id and text stay or go together."""
+    kept = _marked(docs.select("doc_id", "text"), percent).where("kept").select(F.col("doc_id").alias("__d"), F.col("tid").alias("__t"))
+    own = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__tid"))
+    return own.join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__tid") == F.col("__t")), "left_semi").select("__row.*")
+
+
+def _marked(docs: DataFrame, percent: int) -> DataFrame:
     _, errors, chunks = parameters(percent)
     own = materialize(describe(docs), "signatures")
     sets = own.where("skey is not null and doc_id is not null").groupBy("skey").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
@@ -275,5 +287,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     of_set = nodes.select("node", "rep", "skey").join(of_set, "node", "left").select("skey", F.coalesce("component_id", "rep").alias("component_id"))
     out = own.drop("sig").join(of_set, "skey", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"))
+    out = out.select("doc_id", "tid", "n_shingles", component.cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import cross_polytope, language_id, near_dup, packing, quality_rules, sentencepiece_bpe, suffix_dedup, url_rules, warc_zstd
+from tessera.llm import cross_polytope, language_id, line_dedup, near_dup, packing, quality_rules, sentencepiece_bpe, suffix_dedup, url_rules, warc_zstd
 from tessera.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_suffix_array": op6_suffix_array,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dup": op10_near_dup,
