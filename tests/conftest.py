@@ -4,7 +4,7 @@ import sys
 import pytest
 
 HERE = os.path.dirname(os.path.abspath(__file__))
-sys.path[:0] = [os.path.dirname(HERE), HERE]
+sys.path[:0] = [os.path.dirname(HERE), HERE, os.path.join(HERE, "llm")]
 
 
 @pytest.fixture(scope="session")
