@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ from pyspark.sql.window import Window
 from tessera.llm.common import materialize
 
 CAPACITY = 2048
-CACHE_UNITS = 600_000
+MARK = "\x01"
+CACHE_UNITS = 1_000_000
 CHUNK_CHARS = 1_000_000
 RANK_ROWS = 50_000
 """Rows of one length that a task ranks at most, on average."""
@@ -43,12 +46,16 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {"": b""}
+        (self.mark,) = self.lib.encode(MARK, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # A-Z are lower-cased by the tokenizer anyway; texts that may hold a special token are left as they are.
         texts = [t if "<|" in t else t.encode().lower().decode() for t in texts]
         units = [t.replace("\n", " ").split(" ") for t in texts]
-        if missing := set().union(*units) - self.cache.keys():
+        missing: set[str] = set()
+        for u in units:
+            missing.update(filterfalse(self.cache.__contains__, u))
+        if missing:
             if len(self.cache) + len(missing) > CACHE_UNITS:
                 self.cache = {"": b""}
                 missing = set().union(*units) - {""}
@@ -58,13 +65,34 @@ class Encoder:
 
     def _learn(self, missing: set[str]) -> None:
         # A comma or stop behind letters is a token of its own, so such a unit is its word and that sign.
-        cut = {u for u in missing if u[-1] in ",." and u[:-1].isalpha() and u[:-1].lower().isalpha() and max(u) < "\u0250"}
-        new = list((missing - cut).union(u[:-1] for u in cut).union(",.") - self.cache.keys())
-        for u, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[u] = np.array(e.ids, "<u4").tobytes()
+        cut, new = [], set()
+        for u in missing:
+            word = u[:-1]
+            if u[-1] in ",." and word.isalpha() and (word.isascii() or (max(word) < "\u0250" and word.lower().isalpha())):
+                cut.append(u)
+                new.add(word)
+            else:
+                new.add(u)
+        new.update(",.")
+        odd = {u for u in new if MARK in u or "<|" in u}
+        self._encode_joined(list(new.difference(odd).difference(self.cache)))
+        for u in odd:
+            self.cache[u] = array("I", self.lib.encode(u, add_special_tokens=False).ids).tobytes()
         for u in cut:
             self.cache[u] = self.cache[u[:-1]] + self.cache[u[-1]]
 
+    def _encode_joined(self, units: list[str]) -> None:
+        """Many units in one text, between marks: each call has a price of its own. The mark's token ends every unit's."""
+        for k in range(0, len(units), 4096):
+            part = units[k : k + 4096]
+            ids = np.array(self.lib.encode_batch_fast([f" {MARK} ".join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.nonzero(ids == self.mark)[0]
+            assert len(ends) == len(part), "a unit holds the mark"
+            raw, at = ids.tobytes(), 0
+            for u, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.cache[u] = raw[at:end]
+                at = end + 4
+
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
