@@ -46,8 +46,8 @@ class RowsReader(DataSourceReader):
         step = -(-self.rows // self.parts)
         return [_Part(i, min(i + step, self.rows)) for i in range(0, self.rows, step)]
 
-    def read(self, part: _Part) -> Iterator[tuple]:
-        for i in range(part.start, part.end):
+    def read(self, part: _Part | None) -> Iterator[tuple]:
+        for i in range(part.start, part.end) if part else ():  # without partitions Spark reads one that is None
             yield i, f"row {i}"
 
 
