@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dup": op10_near_dup,
 }
-ORACLE_SQL: dict[str, str] = {"op3_warc": warc_zstd.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": warc_zstd.ORACLE_SQL, "op10_near_dup": near_dup.ORACLE_SQL}
