@@ -66,7 +66,8 @@ def identity(rows: DataFrame, name: str, order: list[str], start: int = 1) -> Da
     numbered within partitions, then shifted by the partitions' counts (as many rows as partitions)."""
     from pyspark.sql.window import Window
 
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: both branches see the same partitions
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
     shift = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
     numbered = placed.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
