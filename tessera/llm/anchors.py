@@ -76,3 +76,30 @@ def anchors_of(text: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarra
     p, h = (np.concatenate(x) for x in zip(*found, strict=True))
     p, first = np.unique(p, return_index=True)
     return p, h[first]
+
+
+def neighbours(at: np.ndarray, h: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor the nearest one before it whose hash is not larger, and the nearest after it whose hash is
+    smaller, within ``reach``; otherwise places beyond reach. Positions that are no anchors cannot come between: the
+    window that starts (or ends) at such a position would make it an anchor."""
+    n = len(at)
+    before, after = at - reach - 1, at + reach + 1
+    open_ = np.arange(n)
+    for k in range(1, n):
+        open_ = open_[open_ >= k]
+        open_ = open_[at[open_] - at[open_ - k] <= reach]
+        if not len(open_):
+            break
+        hit = h[open_ - k] <= h[open_]
+        before[open_[hit]] = at[open_[hit] - k]
+        open_ = open_[~hit]
+    open_ = np.arange(n)
+    for k in range(1, n):
+        open_ = open_[open_ + k < n]
+        open_ = open_[at[open_ + k] - at[open_] <= reach]
+        if not len(open_):
+            break
+        hit = h[open_ + k] < h[open_]
+        after[open_[hit]] = at[open_[hit] + k]
+        open_ = open_[~hit]
+    return before, after

@@ -1,10 +1,11 @@
 """Removal of repeated byte strings with suffix arrays built by two-stage sorting.
 
 A byte goes if a string of SPAN bytes that covers it starts anywhere else too. Anchors (see ``anchors``) find the
-places that can repeat: equal strings of SPAN bytes share an anchor at the same offset. An anchor's context is all
-that such strings can reach. Contexts that occur twice as a whole repeat as they are; each class of the others is
-taken once and its windows, split by which half of the context they reach into, meet the windows of the contexts
-with the same anchor and half in one suffix array:
+places that can repeat: each string of SPAN bytes (a window) belongs to the anchor with its least hash, the leftmost
+of equal ones, so equal windows belong to equal anchors at the same offset. An anchor's context is what its windows
+cover. Contexts that occur twice as a whole repeat as they are; each class of the others is taken once and its
+windows, split by which half of the context they reach into, meet the windows of the contexts with the same anchor
+and half in one suffix array:
 
 - suffixes smaller than their successor are sorted directly (to SPAN bytes),
 - the rest is induced by scanning the buckets of first bytes upwards,
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.anchors import GRAM, anchor_positions, anchors_of
+from tessera.llm.anchors import GRAM, anchor_positions, anchors_of, neighbours
 from tessera.llm.common import materialize, shuffle_partitions
 
 SPAN = 200
@@ -159,8 +160,9 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """akey, ckey, halves, tid, pos of each anchor: hashes of its gram, of its context, of the two halves (32 bits
-    each, 0: no window reaches there), the text's hash, and the place. Wants tid and text."""
+    """akey, ckey, halves, tid, spot of each anchor with windows: hashes of its gram, of its context, of the two halves
+    (32 bits each, 0: no window reaches there), the text's hash, and the place with how far before the anchor the
+    windows start (position * 65536 + nearest * 256 + farthest). Wants tid and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, short = xxhash.xxh3_64_intdigest, lambda b: (xxhash.xxh3_64_intdigest(b) & 0xFFFFFFFF) or 1
@@ -172,18 +174,23 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 if not len(at):
                     continue
                 d = np.searchsorted(end, at, side="right")
-                lo, hi = np.maximum(start[d], at - REACH).tolist(), np.minimum(end[d], at + SPAN).tolist()
-                s, e, whole = start[d].tolist(), end[d].tolist(), memoryview(data)
-                # With the anchor's offset: in a run of one byte, one stretch is the context of many anchors.
-                ckey = [digest(whole[x:y], p - x) for p, x, y in zip(at.tolist(), lo, hi, strict=True)]
-                r = SPAN - HALF + 1
-                half = [((short(whole[p - HALF : p + GRAM]) if p - HALF >= x else 0) << 32) | (short(whole[p : p + r]) if p + r <= y else 0) for p, x, y in zip(at.tolist(), s, e, strict=True)]
+                before, after = neighbours(at, h, SPAN - GRAM)
+                first = np.maximum(np.maximum(start[d], at - REACH), before + 1)
+                last = np.minimum(np.minimum(at, end[d] - SPAN), after - REACH - 1)
+                use = np.nonzero(first <= last)[0]
+                at, h, d, first, last = at[use], h[use], d[use], first[use], last[use]
+                whole, p = memoryview(data), at.tolist()
+                # With the anchor's offset: in a run of one byte, one stretch can be the context of many anchors.
+                ckey = [digest(whole[x : y + SPAN], q - x) for q, x, y in zip(p, first.tolist(), last.tolist(), strict=True)]
+                near, far = at - last, at - first
+                half = [((short(whole[q - HALF : q + GRAM]) if f >= HALF else 0) << 32) | (short(whole[q : q + SPAN - HALF + 1]) if n < HALF else 0) for q, n, f in zip(p, near.tolist(), far.tolist(), strict=True)]
+                spot = (at - start[d]) * 65536 + near * 256 + far
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(np.array(ckey, np.uint64).view(np.int64)), pa.array(np.array(half, np.uint64).view(np.int64)), pa.array(tids[i + d]), pa.array((at - start[d]).astype(np.int32))],
-                    ["akey", "ckey", "halves", "tid", "pos"],
+                    [pa.array(h.view(np.int64)), pa.array(np.array(ckey, np.uint64).view(np.int64)), pa.array(np.array(half, np.uint64).view(np.int64)), pa.array(tids[i + d]), pa.array(spot)],
+                    ["akey", "ckey", "halves", "tid", "spot"],
                 )
 
-    return docs.select("tid", "text").mapInArrow(run, "akey long, ckey long, halves long, tid long, pos int")
+    return docs.select("tid", "text").mapInArrow(run, "akey long, ckey long, halves long, tid long, spot long")
 
 
 def _long(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +202,7 @@ def _long(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 def _contexts(docs: DataFrame, refs: DataFrame) -> DataFrame:
     """A row for each context and half: gkey, ctx, rel (where the anchor is in ctx), near and far (the half's windows
     start so many bytes before the anchor), tid, place (of ctx in the text), cn. refs has per (tid, rep) the list
-    ``at`` of (akey, halves, pos, cn, left, right)."""
+    ``at`` of (akey, halves, spot, cn, left, right)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,11 +210,10 @@ def _contexts(docs: DataFrame, refs: DataFrame) -> DataFrame:
             for tid, text, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
                 for x in at:
-                    p, halves = x["pos"], x["halves"] & 0xFFFFFFFFFFFFFFFF
-                    start, end = max(0, p - REACH), min(len(data), p + SPAN)
+                    p, nearest, farthest, halves = x["spot"] >> 16, x["spot"] >> 8 & 255, x["spot"] & 255, x["halves"] & 0xFFFFFFFFFFFFFFFF
                     # Windows start at p - l: l from HALF on reach the left half, the others the right one.
                     for ok, side, key, near, far in ((x["left"], 0, halves >> 32, HALF, REACH), (x["right"], 1, halves & 0xFFFFFFFF, 0, HALF - 1)):
-                        lo, hi = max(start, p - far), min(p - near, end - SPAN)
+                        lo, hi = p - min(far, farthest), p - max(near, nearest)
                         if ok and key and lo <= hi:
                             g = xxhash.xxh3_64_intdigest(f"{x['akey']},{side},{key}")
                             for c, v in zip(out, (g - (1 << 63), data[lo : hi + SPAN], p - lo, near, far, tid, lo, x["cn"]), strict=True):
@@ -309,21 +315,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """tid and spans (array of start, stop; not merged) of the texts that have any. docs: tid, doc_id, text."""
     every = anchor_rows(docs)
     twice = every.groupBy("akey").agg(F.count("*").alias("__n")).where("__n > 1").select("akey")
-    met = every.join(twice, "akey").groupBy("akey", "ckey", "halves", "tid", "pos").agg(F.count("*").alias("n"))
-    met = materialize(met, "anchors")
-    kinds = met.groupBy("akey", "ckey", "halves").agg(F.sum("n").alias("cn"), F.min(F.struct("tid", "pos")).alias("at"))
+    met = materialize(every.join(twice, "akey"), "anchors")  # written right after the join: a hot anchor can be split
+    kinds = met.groupBy("akey", "ckey", "halves").agg(F.count("*").alias("cn"), F.min(F.struct("tid", "spot")).alias("at"))
     kinds = materialize(kinds, "contexts")
     # Contexts that occur as a whole twice or more are repeats from end to end.
-    whole = met.join(kinds.where("cn > 1").select("akey", "ckey"), ["akey", "ckey"], "left_semi").select("tid", "pos").distinct()
-    whole = whole.select("tid", F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"), (F.col("pos") + SPAN).alias("stop"))
+    whole = met.join(kinds.where("cn > 1").select("akey", "ckey"), ["akey", "ckey"], "left_semi").select("tid", "spot").distinct()
+    place, near, far = (F.expr(x) for x in ("shiftright(spot, 16)", "shiftright(spot, 8) & 255", "spot & 255"))
+    whole = whole.select("tid", (place - far).cast("int").alias("start"), (place - near + SPAN).cast("int").alias("stop"))
     # The others: only those whose half is shared by another context of the same anchor.
     left, right = F.shiftrightunsigned("halves", 32).alias("__h"), F.expr("halves & 4294967295L").alias("__h")
     both = kinds.select("akey", left, F.lit(0).alias("__side"), "cn").union(kinds.select("akey", right, F.lit(1), "cn")).where("__h <> 0")
     shared = both.groupBy("akey", "__h", "__side").agg(F.count("*").alias("__n"), F.min("cn").alias("__least")).where("__n > 1 AND __least = 1")
     sided = lambda side, name: shared.where(F.col("__side") == side).select("akey", F.col("__h").alias(f"__{name}"), F.lit(True).alias(name))
     picked = kinds.withColumns({"__left": left, "__right": right}).join(sided(0, "left"), ["akey", "__left"], "left").join(sided(1, "right"), ["akey", "__right"], "left")
-    picked = picked.where("left OR right").select("akey", "halves", "cn", "at.tid", "at.pos", F.coalesce("left", F.lit(False)).alias("left"), F.coalesce("right", F.lit(False)).alias("right"))
-    refs = picked.groupBy("tid").agg(F.collect_list(F.struct("akey", "halves", "pos", "cn", "left", "right")).alias("at"))
+    picked = picked.where("left OR right").select("akey", "halves", "cn", "at.tid", "at.spot", F.coalesce("left", F.lit(False)).alias("left"), F.coalesce("right", F.lit(False)).alias("right"))
+    refs = picked.groupBy("tid").agg(F.collect_list(F.struct("akey", "halves", "spot", "cn", "left", "right")).alias("at"))
     rep = docs.groupBy("tid").agg(F.min("doc_id").alias("rep"))
     units, early = _refine(materialize(_contexts(docs, refs.join(rep, "tid")), "units"))
     found = whole.unionByName(_array_spans(units)).unionByName(early)

@@ -118,3 +118,18 @@ def test_long_texts_in_segments(monkeypatch):
     a, ha = anchors.anchors_of(t, 200)
     b, hb = anchors.anchor_positions(t, np.array([0]), np.array([len(t)]), 200)
     assert (a == b).all() and (ha == hb).all()
+
+
+@pytest.mark.parametrize("letters", [1, 2, 4])
+def test_each_window_belongs_to_its_leftmost_least_anchor(letters):
+    t = np.random.default_rng(letters).integers(97, 97 + letters, 900).astype(np.uint8)
+    t[300:500] = np.tile([97, 98, 99, 100], 50)
+    h = anchors.gram_hashes(t)
+    at, ha = anchors.anchor_positions(t, np.array([0]), np.array([len(t)]), 200)
+    before, after = anchors.neighbours(at, ha, 136)
+    owner = {}
+    for p, b, a in zip(at.tolist(), before.tolist(), after.tolist(), strict=True):
+        for w in range(max(0, p - 136, b + 1), min(p, len(t) - 200, a - 137) + 1):
+            assert w not in owner
+            owner[w] = p
+    assert owner == {w: w + int(h[w : w + 137].argmin()) for w in range(len(t) - 199)}
