@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A fast pseudo-rotation (three rounds of random signs and a Hadamard transform) takes a unit vector to the nearest
-signed axis; ``parts`` such axes make the bucket of one table. Queries probe several buckets of each table, best
-first. Vectors are hashed by direction within bands of about equal norm, so that the largest inner products are
+signed axis, the bucket of one table. Queries probe several buckets of each table, best first: at any size the same
+share of all vectors, as finer buckets would need hundreds of probes for the same recall. Vectors are hashed by direction within bands of about equal norm, so that the largest inner products are
 found whatever the norms are; candidates are ranked by the exact inner product of the original vectors.
 
 Equal vectors are hashed once, with the few smallest ids that a result can need. Buckets beyond CHUNK vectors, and
@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import materialize
 
-TABLES, PROBES, CHUNK, QUERY_CHUNK, BUCKET = 8, 12, 4096, 2048, 8192
-"""Tables, buckets probed in each, vectors and queries of a task's unit, and vectors of a bucket that call for one part more."""
+TABLES, PROBES, CHUNK, QUERY_CHUNK = 8, 12, 4096, 2048
+"""Tables, buckets probed in each, vectors and queries of a task's unit."""
 
 
 def signs(dims: int, table: int, part: int) -> np.ndarray:
@@ -83,7 +83,7 @@ def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
     return out.select("id", "v", F.size("v").alias("dims"), F.round(4 * (F.log2("__top") + F.log2(norm))).cast("int").alias("band"))
 
 
-def _bucketed(vectors: DataFrame, parts: int, count: int, keep: list[str]) -> DataFrame:
+def _bucketed(vectors: DataFrame, count: int, keep: list[str]) -> DataFrame:
     """A row for each table and bucket of each vector, with the columns ``keep``, v, dims and band."""
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
     names = [*keep, "v", "dims", "band"]
@@ -95,7 +95,7 @@ def _bucketed(vectors: DataFrame, parts: int, count: int, keep: list[str]) -> Da
                 part = b.take(pa.array(np.nonzero(dims == d)[0]))
                 x = matrix(part.column(names.index("v")))
                 for t in range(TABLES):
-                    codes = probes(x, t, parts, count)
+                    codes = probes(x, t, 1, count)
                     for p in range(codes.shape[1]):
                         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(x), t, np.int32)), pa.array(codes[:, p])], [*names, "tab", "bucket"])
 
@@ -156,15 +156,12 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20, id_column: str = "v
     first = Window.partitionBy("v").orderBy("id")
     few = all_.dropDuplicates(["id", "v"]).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k + 1)
     distinct = materialize(few.groupBy("v", "dims", "band").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    shape = distinct.groupBy("dims", "band").agg(F.count("*").alias("n")).collect()  # at most a row for each length and quarter octave of norms
+    shape = distinct.select("dims", "band").distinct().collect()  # at most a row for each length and quarter octave of norms
     if not shape:
         return own.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    parts = 1
-    while max(r["n"] / (2 * r["dims"]) ** parts for r in shape) > BUCKET:
-        parts += 1
     # Vectors: several units for a bucket of more than CHUNK.
     key = ["dims", "band", "tab", "bucket"]
-    stored = _bucketed(distinct, parts, 1, ["ids"])
+    stored = _bucketed(distinct, 1, ["ids"])
     sizes = stored.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") > CHUNK)
     units = sizes.select(*key, F.ceil(F.col("__n") / CHUNK).cast("int").alias("__units"))
     spread = lambda df: df.join(units, key, "left").withColumn("__units", F.coalesce("__units", F.lit(1)))
@@ -172,7 +169,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20, id_column: str = "v
     # Queries: each band of their length, all units of a probed bucket; dealt by id, with the vectors once for each deal.
     bands = [(r["dims"], r["band"]) for r in shape]
     bands = own.sparkSession.createDataFrame(bands, "dims int, band int")
-    asked = _bucketed(own.drop("band").join(F.broadcast(bands), "dims"), parts, PROBES, ["id"])
+    asked = _bucketed(own.drop("band").join(F.broadcast(bands), "dims"), PROBES, ["id"])
     asked = spread(asked).withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("__units") - 1)))
     deals = asked.groupBy(*key, "unit").agg(F.count("*").alias("__q")).where(F.col("__q") > QUERY_CHUNK)
     deals = deals.select(*key, "unit", F.ceil(F.col("__q") / QUERY_CHUNK).cast("int").alias("__deals"))

@@ -64,3 +64,14 @@ def test_hot_vector_and_chunks(spark, monkeypatch):
     assert [i for i, _ in got[40]] == [i for i in range(21) if i != 40][:20]
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert got.keys() == want.keys() and hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_recall_does_not_depend_on_size(spark, monkeypatch):
+    """Once, more than BUCKET vectors a bucket called for buckets of two parts, and 12 probes then saw 1% of the vectors."""
+    monkeypatch.setattr(c, "BUCKET", 10, raising=False)
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings")
+    got = answers(c.search(rows.where("vec_id % 20 = 0"), rows))
+    want = brute([(r.vec_id, r.embedding) for r in rows.collect()], 20, lambda i: i % 20 == 0)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    recall = hits / sum(map(len, want.values()))
+    assert recall >= 0.9, recall
