@@ -2,9 +2,9 @@
 
 A document is its token ids and a closing id 0; one that is longer than the capacity is cut into pieces of the
 capacity and a rest. The lengths' histogram (at most ``capacity`` rows) is all that reaches the driver: there
-multiplicative weights with knapsack pricing solve the covering program over bin configurations, the solution
-is rounded down, and what is left is put best fit, by decreasing length, into remaining space or new bins. The
-plan is a bounded table of slots; pieces take their slots by their rank among equal lengths, computed without
+multiplicative weights with knapsack pricing solve the covering program over bin configurations in whole bins,
+and the few pieces that form no full configuration are put best fit, by decreasing length, into remaining space
+or new bins. The plan is a bounded table of slots; pieces take their slots by their rank among equal lengths, computed without
 gathering a length in one task.
 
 Defined results: null or empty text is the lone closing id; repeated rows are packed one by one; a null doc_id
@@ -29,6 +29,8 @@ from tessera.llm.common import materialize
 
 CAPACITY = 2048
 MARK = "\x01"
+FULL = 0.001
+"""Share of a configuration's room that may stay empty."""
 CACHE_UNITS = 1_000_000
 CHUNK_CHARS = 1_000_000
 RANK_ROWS = 50_000
@@ -152,51 +154,61 @@ def _knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np
     return best, item
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eps: float = 0.25) -> list[tuple[tuple[int, ...], int]]:
-    """Bins by configuration: multiplicative weights on the covering program, rounded down.
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eps: float = 0.05) -> list[tuple[tuple[int, ...], int]]:
+    """Bins by configuration: multiplicative weights on the covering program, in whole bins. lengths ascend.
 
-    Prices start at the volume bound's (length over capacity) and fall as a length gets covered. Each pricing
-    gives the best configuration and those of slightly smaller capacities that share no length with it."""
-    price, left = lengths / capacity, counts.astype(float)
-    found: dict[tuple[int, ...], float] = {}
+    Prices start at the volume bound's (length over capacity) and fall by exp(-fall) as a length gets covered, by
+    less from table to table. A table of the knapsack prices configurations until one is worth, at the prices of
+    then, less than 1 - eps of its best. A configuration takes no length more often than it is left, and at once up
+    to half of the scarcest one's count. If it would leave more than FULL of the room that the open lengths could
+    fill, another length comes first; when none is left to begin with at nearly the volume bound's prices, the rest
+    is for best fit."""
+    volume, left, fall = lengths / capacity, counts.copy(), 0.5
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    found: dict[tuple[int, ...], int] = {}
+    room = capacity * _knapsack(lengths, volume, capacity)[0][capacity]
     for _ in range(rounds):
-        open_ = left >= 1
-        if not open_.any():
+        open_ = np.nonzero(left)[0]
+        if not len(open_):
             break
-        index = np.nonzero(open_)[0]
-        best, item = _knapsack(lengths[index], (price * np.where(open_, 1, 0))[index], capacity)
-        taken: set[int] = set()
-        for c in range(capacity, max(capacity - 64, 0), -1):
-            if best[c] < best[capacity] * 0.98:
+        price = np.where(left > 0, volume * np.exp(-fall * (1 - left / counts)), -1.0)
+        best, _ = _knapsack(lengths[open_], price[open_], capacity)
+        fresh, first = True, left > 0
+        while True:
+            now, taken, at = np.where(first, price, -1.0 - capacity), {}, capacity
+            while k := upto[at]:
+                # Ties go to the larger length, as the small ones fit in later.
+                j = k - 1 - int((now[:k] + best[at - lengths[:k]])[::-1].argmax())
+                if now[j] <= 0:
+                    break
+                if not taken:
+                    now = price.copy()
+                taken[j] = taken.get(j, 0) + 1
+                at -= int(lengths[j])
+                if taken[j] == left[j]:
+                    now[j] = -1.0
+            unique, n = np.array(list(taken), np.int64), np.array(list(taken.values()), np.int64)
+            if not taken:
                 break
-            config, at = [], c
-            while at > 0:
-                if item[at] < 0:
-                    at -= 1
-                else:
-                    config.append(int(index[item[at]]))
-                    at -= int(lengths[config[-1]])
-            unique, n = np.unique(config, return_counts=True)
-            if not len(unique) or taken.intersection(unique.tolist()) or (left[unique] < n).any():
+            if capacity - at < (1 - FULL) * room:
+                first[unique[0]] = False
                 continue
-            step = max(1.0, float(np.floor(eps * (left[unique] / n).min())))
-            key = tuple(sorted(config))
+            if not fresh and (price[unique] * n).sum() < (1 - eps) * best[capacity]:
+                break
+            fresh = False
+            step = min(max(1, int((counts[unique] / n).min() / 2)), int((left[unique] // n).min()))
+            key = tuple(sorted(j for j, m in taken.items() for _ in range(m)))
             found[key] = found.get(key, 0) + step
             left[unique] -= step * n
-            price[unique] *= np.exp(-eps * step * n / counts[unique])
-            taken.update(unique.tolist())
-        if not taken:
-            # Every good configuration takes a length more often than it is left: price those lengths lower.
-            config = []
-            at = capacity
-            while at > 0:
-                if item[at] < 0:
-                    at -= 1
-                else:
-                    config.append(int(index[item[at]]))
-                    at -= int(lengths[config[-1]])
-            price[np.unique(config)] *= np.exp(-eps)
-    return [(tuple(int(lengths[i]) for i in config), int(x)) for config, x in found.items()]
+            first &= left > 0
+            price[unique] = np.where(left[unique] > 0, volume[unique] * np.exp(-fall * (1 - left[unique] / counts[unique])), -1.0)
+        if fresh:
+            could = capacity * _knapsack(lengths[open_], volume[open_], capacity)[0][capacity]
+            if could == room and fall < 0.01:
+                break
+            room = could
+        fall *= 0.9
+    return [(tuple(int(lengths[i]) for i in config), x) for config, x in found.items()]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 100) -> list[tuple[tuple[int, ...], int]]:

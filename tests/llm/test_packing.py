@@ -56,6 +56,25 @@ def test_plan_covers_exactly_and_is_near_the_volume_bound():
             assert sum(t for _, t in bins) <= math.ceil(sum(k * v for k, v in h.items()) / 2048) * 1.01 + 1
 
 
+def test_configurations_place_nearly_all():
+    rng = np.random.default_rng(6)
+    h = collections.Counter(int(x) for x in np.clip(rng.lognormal(6.2, 1.0, 11000), 1, 2048))
+    for times in (1, 300):
+        lengths = np.array(sorted(h))
+        counts = np.array([h[int(x)] * times for x in lengths])
+        found = p.configurations(lengths, counts, 2048, 100)
+        got = collections.Counter()
+        for config, n in found:
+            assert sum(config) <= 2048 and n > 0
+            for x in config:
+                got[x] += n
+        assert all(got[int(x)] <= n for x, n in zip(lengths, counts, strict=True))
+        assert sum(got.values()) >= 0.8 * counts.sum(), (times, sum(got.values()) / counts.sum())
+        assert sum(x * n for x, n in got.items()) >= 0.8 * (lengths * counts).sum()
+        bins = p.plan({int(x): int(n) for x, n in zip(lengths, counts, strict=True)})
+        assert sum(n for _, n in bins) <= math.ceil((lengths * counts).sum() / 2048) * 1.01 + 1
+
+
 def test_plan_of_large_items_only():
     bins = p.plan({1100: 5, 1500: 2})
     assert sum(t for _, t in bins) == 7
