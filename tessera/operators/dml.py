@@ -61,7 +61,7 @@ def set_type(target: DataFrame, name: str, kind: str) -> DataFrame:
     return target.withColumn(name, F.col(name).cast(kind))
 
 
-def identity(rows: DataFrame, name: str, order: list[str], start: int = 1) -> DataFrame:
+def identity(rows: DataFrame, name: str, order: list[str | Column], start: int = 1) -> DataFrame:
     """GENERATED ALWAYS AS IDENTITY in the order given, without sorting in one task: rows are range-partitioned and
     numbered within partitions, then shifted by the partitions' counts (as many rows as partitions)."""
     from pyspark.sql.window import Window

@@ -12,6 +12,7 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

@@ -27,10 +27,15 @@ def cq_events(log: DataFrame, where: Column, key: str, sequence: str) -> DataFra
     return marked.withColumn("__was", before).withColumn("query_op", op).where("query_op IS NOT NULL").drop("__in", "__was")
 
 
-def initial_results(log: DataFrame, where: Column, key: str, sequence: str, until: int) -> DataFrame:
-    """Rows that match when the query is registered: the latest change of each key up to ``until``."""
+def initial_results(log: DataFrame, where: Column, key: str, sequence: str, until: int | DataFrame) -> DataFrame:
+    """Rows that match when the query is registered: the latest change of each key up to ``until`` (a number, or a
+    table of one row and column)."""
     rest = [c for c in log.columns if c != key]
-    last = log.where(F.col(sequence) <= until).groupBy(key).agg(F.max_by(F.struct(*rest), sequence).alias("__r")).select(key, "__r.*")
+    if isinstance(until, DataFrame):
+        seen = log.crossJoin(F.broadcast(until.toDF("__until"))).where(F.col(sequence) <= F.col("__until")).drop("__until")
+    else:
+        seen = log.where(F.col(sequence) <= until)
+    last = seen.groupBy(key).agg(F.max_by(F.struct(*rest), sequence).alias("__r")).select(key, "__r.*")
     return last.where((F.col("op") != "destroy") & F.coalesce(where, F.lit(False)))
 
 
