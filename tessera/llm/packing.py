@@ -1,11 +1,12 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
 A document is its token ids and a closing id 0; one that is longer than the capacity is cut into pieces of the
-capacity and a rest. The lengths' histogram (at most ``capacity`` rows) is all that reaches the driver: there
-multiplicative weights with knapsack pricing solve the covering program over bin configurations in whole bins,
-and the few pieces that form no full configuration are put best fit, by decreasing length, into remaining space
-or new bins. The plan is a bounded table of slots; pieces take their slots by their rank among equal lengths, computed without
-gathering a length in one task.
+capacity and a rest. The lengths' histogram (at most ``capacity`` rows) is all that reaches the driver. There
+multiplicative weights with knapsack pricing solve the covering program over bin configurations to a stated gap
+between the fractional bins and the dual bound; the fractional weights are rounded to whole bins of pieces that are
+left, and the program is solved again for the rest, until a round places less than a tenth of it. Those last pieces
+are put best fit, by decreasing length, into remaining space or new bins. The plan is a bounded table of slots;
+pieces take their slots by their rank among equal lengths, computed without gathering a length in one task.
 
 Defined results: null or empty text is the lone closing id; repeated rows are packed one by one; a null doc_id
 is kept; extra columns are ignored; an empty table gives an empty plan.
@@ -29,8 +30,10 @@ from tessera.llm.common import materialize
 
 CAPACITY = 2048
 MARK = "\x01"
-FULL = 0.001
-"""Share of a configuration's room that may stay empty."""
+GAP = 0.1
+"""The fractional solution of each round needs at most so much more bins than its dual bound, as a share."""
+RATE, SLACK = 0.5, 0.05
+"""Learning rate of the weights, and how far below its best a table of the knapsack still prices configurations."""
 CACHE_UNITS = 1_000_000
 CHUNK_CHARS = 1_000_000
 RANK_ROWS = 50_000
@@ -137,81 +140,89 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best worth of each capacity and the item last taken there (-1: none)."""
-    best, item = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    size, value = lengths[order], worth[order]
-    upto = np.searchsorted(size, np.arange(capacity + 1), side="right")
-    for c in range(int(size[0]), capacity + 1):
-        k = upto[c]
-        total = best[c - size[:k]] + value[:k]
-        j = int(total.argmax())
-        if total[j] > best[c - 1]:
-            best[c], item[c] = total[j], order[j]
-        else:
-            best[c], item[c] = best[c - 1], -1
-    return best, item
-
-
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eps: float = 0.05) -> list[tuple[tuple[int, ...], int]]:
-    """Bins by configuration: multiplicative weights on the covering program, in whole bins. lengths ascend.
-
-    Prices start at the volume bound's (length over capacity) and fall by exp(-fall) as a length gets covered, by
-    less from table to table. A table of the knapsack prices configurations until one is worth, at the prices of
-    then, less than 1 - eps of its best. A configuration takes no length more often than it is left, and at once up
-    to half of the scarcest one's count. If it would leave more than FULL of the room that the open lengths could
-    fill, another length comes first; when none is left to begin with at nearly the volume bound's prices, the rest
-    is for best fit."""
-    volume, left, fall = lengths / capacity, counts.copy(), 0.5
+def _knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack: the best worth of each capacity; lengths ascend."""
+    best = np.zeros(capacity + 1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    found: dict[tuple[int, ...], int] = {}
-    room = capacity * _knapsack(lengths, volume, capacity)[0][capacity]
-    for _ in range(rounds):
-        open_ = np.nonzero(left)[0]
-        if not len(open_):
-            break
-        price = np.where(left > 0, volume * np.exp(-fall * (1 - left / counts)), -1.0)
-        best, _ = _knapsack(lengths[open_], price[open_], capacity)
-        fresh, first = True, left > 0
+    for c in range(int(lengths[0]), capacity + 1):
+        best[c] = max(best[c - 1], (best[c - lengths[: upto[c]]] + worth[: upto[c]]).max())
+    return best
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """({((length's index, how often), ...): bins}, dual bound) of the covering program; lengths ascend.
+
+    Prices start at the volume bound's (length over capacity) and fall with exp(-rate * coverage). Each step adds the
+    configuration that the knapsack finds dearest, so often that the scarcest of its lengths is covered once more; a
+    table of the knapsack serves until the dearest configuration at the prices of then is worth less than 1 - SLACK of
+    its best. Any prices give a dual bound: their total over the pieces, divided by the dearest configuration. Ends when
+    the bins, scaled so that every length is covered, are within ``gap`` of the best dual bound; as the rate falls with
+    the root of the coverage, they get there whatever the gap is."""
+    volume, n = lengths / capacity, counts.astype(float)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    cover, bins, total, bound = np.zeros(len(lengths)), {}, 0.0, 0.0
+    while True:
+        low = cover.min()
+        if low > 0 and total <= (1 + gap) * bound * low:
+            return {config: x / low for config, x in bins.items()}, bound
+        rate = RATE / np.sqrt(1 + (total / bound if bound else 0))
+        price = volume * np.exp(-rate * (cover - low))
+        best = _knapsack(lengths, price, capacity)
+        bound = max(bound, float(n @ price) / best[capacity])
+        fresh = True
         while True:
-            now, taken, at = np.where(first, price, -1.0 - capacity), {}, capacity
+            taken: dict[int, int] = {}
+            at = capacity
             while k := upto[at]:
                 # Ties go to the larger length, as the small ones fit in later.
-                j = k - 1 - int((now[:k] + best[at - lengths[:k]])[::-1].argmax())
-                if now[j] <= 0:
-                    break
-                if not taken:
-                    now = price.copy()
+                j = k - 1 - int((price[:k] + best[at - lengths[:k]])[::-1].argmax())
                 taken[j] = taken.get(j, 0) + 1
                 at -= int(lengths[j])
-                if taken[j] == left[j]:
-                    now[j] = -1.0
-            unique, n = np.array(list(taken), np.int64), np.array(list(taken.values()), np.int64)
-            if not taken:
-                break
-            if capacity - at < (1 - FULL) * room:
-                first[unique[0]] = False
-                continue
-            if not fresh and (price[unique] * n).sum() < (1 - eps) * best[capacity]:
+            which, often = np.fromiter(taken, np.int64), np.fromiter(taken.values(), float)
+            if not fresh and price[which] @ often < (1 - SLACK) * best[capacity]:
                 break
             fresh = False
-            step = min(max(1, int((counts[unique] / n).min() / 2)), int((left[unique] // n).min()))
-            key = tuple(sorted(j for j, m in taken.items() for _ in range(m)))
-            found[key] = found.get(key, 0) + step
-            left[unique] -= step * n
-            first &= left > 0
-            price[unique] = np.where(left[unique] > 0, volume[unique] * np.exp(-fall * (1 - left[unique] / counts[unique])), -1.0)
-        if fresh:
-            could = capacity * _knapsack(lengths[open_], volume[open_], capacity)[0][capacity]
-            if could == room and fall < 0.01:
-                break
-            room = could
-        fall *= 0.9
-    return [(tuple(int(lengths[i]) for i in config), x) for config, x in found.items()]
+            step = (n[which] / often).min()
+            config = tuple(sorted(taken.items()))
+            bins[config] = bins.get(config, 0.0) + step
+            total += step
+            cover[which] += step * often / n[which]
+            price[which] = volume[which] * np.exp(-rate * (cover[which] - low))
+
+
+def rounded(bins: dict[tuple[tuple[int, int], ...], float], counts: np.ndarray) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], np.ndarray]:
+    """Whole bins of the configurations, largest first, and the counts left: each is rounded so that the running sums
+    are (their parts carry over to the next), and no length is taken more often than it is left."""
+    left, out, before = counts.copy(), [], 0.0
+    for config, x in sorted(bins.items(), key=lambda c: (-c[1], c[0])):
+        times = min(int(before + x) - int(before), *(int(left[j]) // often for j, often in config))
+        before += x
+        if times:
+            out.append((config, times))
+            for j, often in config:
+                left[j] -= times * often
+    return out, left
+
+
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[tuple[int, ...], int]], float]:
+    """((lengths in a bin, number of such bins), ...) by rounds of the program and its rounding, and the dual bound of
+    the first round, which no packing can beat."""
+    left, found, least = counts.copy(), [], None
+    while left.any():
+        open_ = np.nonzero(left)[0]
+        bins, bound = fractional(lengths[open_], left[open_], capacity, gap)
+        least = bound if least is None else least
+        whole, rest = rounded(bins, left[open_])
+        found += [(tuple(int(lengths[open_[j]]) for j, often in config for _ in range(often)), times) for config, times in whole]
+        placed = left[open_].sum() - rest.sum()
+        last = 10 * placed < left.sum()
+        left[open_] = rest
+        if last:
+            break
+    return found, least or 0.0
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 100) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a bin, number of such bins), covering the histogram exactly."""
     if not histogram:
         return []
@@ -219,7 +230,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 100)
     counts = np.array([histogram[int(x)] for x in lengths])
     bins: dict[int, list] = {}  # free space -> [[lengths, bins], ...]
     left = dict(histogram)
-    for config, times in configurations(lengths, counts, capacity, rounds):
+    for config, times in configurations(lengths, counts, capacity, gap)[0]:
         bins.setdefault(capacity - sum(config), []).append([config, times])
         for x in config:
             left[x] -= times
@@ -270,10 +281,10 @@ def slots(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray
     return {x: tuple(np.array(c, np.int64) for c in zip(*rows[1:], strict=True)) for x, rows in out.items()}
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = 100) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, gap: float = GAP) -> DataFrame:
     """parts (of ``pieces``, materialized) with sequence_id and offset."""
     histogram = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = slots(plan(histogram, capacity, rounds))
+    table = slots(plan(histogram, capacity, gap))
     share = max(1, -(-sum(histogram.values()) // RANK_ROWS))
     keyed = parts.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(share)).cast("int"))
     before = keyed.groupBy("length", "__b").agg(F.count("*").alias("__n"))
@@ -297,5 +308,5 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = 100) -> DataF
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = 100) -> DataFrame:
-    return pack(materialize(pieces(docs, tokenizer, capacity), "pieces"), capacity, rounds)
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, gap: float = GAP) -> DataFrame:
+    return pack(materialize(pieces(docs, tokenizer, capacity), "pieces"), capacity, gap)

@@ -45,34 +45,74 @@ def test_plan_covers_exactly_and_is_near_the_volume_bound():
     rng = np.random.default_rng(5)
     for size in (1, 7, 300, 20000):
         h = collections.Counter(int(x) for x in np.clip(rng.lognormal(5.5, 1.2, size), 1, 2048))
-        for rounds in (0, 100):
-            bins = p.plan(dict(h), rounds=rounds)
-            got = collections.Counter()
-            for config, times in bins:
-                assert sum(config) <= 2048 and times > 0
-                for x in config:
-                    got[x] += times
-            assert got == h
-            assert sum(t for _, t in bins) <= math.ceil(sum(k * v for k, v in h.items()) / 2048) * 1.01 + 1
+        bins = p.plan(dict(h))
+        got = collections.Counter()
+        for config, times in bins:
+            assert sum(config) <= 2048 and times > 0
+            for x in config:
+                got[x] += times
+        assert got == h
+        assert sum(t for _, t in bins) <= math.ceil(sum(k * v for k, v in h.items()) / 2048) * 1.01 + 1
+
+
+def arrays(h, times=1):
+    lengths = np.array(sorted(h))
+    return lengths, np.array([h[int(x)] * times for x in lengths])
 
 
 def test_configurations_place_nearly_all():
     rng = np.random.default_rng(6)
     h = collections.Counter(int(x) for x in np.clip(rng.lognormal(6.2, 1.0, 11000), 1, 2048))
     for times in (1, 300):
-        lengths = np.array(sorted(h))
-        counts = np.array([h[int(x)] * times for x in lengths])
-        found = p.configurations(lengths, counts, 2048, 100)
+        lengths, counts = arrays(h, times)
+        found, bound = p.configurations(lengths, counts, 2048)
+        assert bound >= (lengths * counts).sum() / 2048 - 1e-6
         got = collections.Counter()
         for config, n in found:
             assert sum(config) <= 2048 and n > 0
             for x in config:
                 got[x] += n
         assert all(got[int(x)] <= n for x, n in zip(lengths, counts, strict=True))
-        assert sum(got.values()) >= 0.8 * counts.sum(), (times, sum(got.values()) / counts.sum())
-        assert sum(x * n for x, n in got.items()) >= 0.8 * (lengths * counts).sum()
-        bins = p.plan({int(x): int(n) for x, n in zip(lengths, counts, strict=True)})
-        assert sum(n for _, n in bins) <= math.ceil((lengths * counts).sum() / 2048) * 1.01 + 1
+        assert sum(got.values()) >= 0.95 * counts.sum(), (times, sum(got.values()) / counts.sum())
+        assert sum(x * n for x, n in got.items()) >= 0.9 * (lengths * counts).sum()
+    bins = p.plan({int(x): int(n) for x, n in zip(lengths, counts, strict=True)})
+    assert sum(n for _, n in bins) <= math.ceil((lengths * counts).sum() / 2048) * 1.01 + 1
+
+
+def test_fractional_solution_covers_within_its_gap_of_a_true_bound():
+    rng = np.random.default_rng(7)
+    for lengths, counts in (([1100, 1500], [5, 2]), ([700], [9]), ([341, 681, 682, 683, 684, 1024, 1025], [2800] * 7), (sorted(rng.choice(2048, 60, replace=False) + 1), rng.integers(1, 90, 60))):
+        lengths, counts = np.array(lengths), np.array(counts)
+        for gap in (0.3, 0.1):
+            bins, bound = p.fractional(lengths, counts, 2048, gap)
+            cover = np.zeros(len(lengths))
+            for config, x in bins.items():
+                assert sum(lengths[j] * often for j, often in config) <= 2048
+                for j, often in config:
+                    cover[j] += x * often
+            assert (cover >= counts * (1 - 1e-9)).all()
+            assert bound <= sum(bins.values()) * (1 + 1e-9) <= (1 + gap) * bound * (1 + 1e-6)
+            assert bound <= sum(t for _, t in p.plan(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), gap=gap)) + 1e-6
+
+
+def test_lengths_that_only_fit_in_few_ways():
+    # Best fit by decreasing length needs 7,387 bins here, the volume alone 7,129.
+    h = collections.Counter(np.random.default_rng(0).choice([341, 681, 682, 683, 684, 1024, 1025], 20000).tolist())
+    assert sum(t for _, t in p.plan(h)) <= 7200
+
+
+def test_program_places_the_pieces_of_the_documents(spark):
+    import os
+
+    base = "/root/testdata/sf0.1"
+    if not os.path.isdir(base):
+        return
+    rows = p.pieces(spark.read.parquet(f"{base}/documents.parquet"), PATH).groupBy("length").count().collect()
+    lengths, counts = arrays({r["length"]: r["count"] for r in rows})
+    found, bound = p.configurations(lengths, counts, 2048)
+    assert sum(len(config) * n for config, n in found) >= 0.98 * counts.sum()
+    bins = sum(n for _, n in p.plan({int(x): int(n) for x, n in zip(lengths, counts, strict=True)}))
+    assert bound <= bins <= 1.005 * bound + 1
 
 
 def test_plan_of_large_items_only():
