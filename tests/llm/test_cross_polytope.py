@@ -38,8 +38,7 @@ def test_recall_against_brute_force(spark):
     got = answers(c.search(rows.where("vec_id % 20 = 0"), rows))
     want = brute([(r.vec_id, r.embedding) for r in rows.collect()], 20, lambda i: i % 20 == 0)
     assert got.keys() == want.keys()
-    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
-    assert hits / sum(map(len, want.values())) >= 0.9
+    assert recall(got, want) >= 0.9
     assert all(len(got[q]) == len(want[q]) for q in want)
 
 
@@ -52,9 +51,13 @@ def test_edge_vectors_ties_and_few_rows(spark):
     assert c.search(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_hot_vector_and_chunks(spark, monkeypatch):
-    monkeypatch.setattr(c, "CHUNK", 20)
-    monkeypatch.setattr(c, "QUERY_CHUNK", 3)
+def recall(got, want):
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    return hits / sum(map(len, want.values()))
+
+
+def test_hot_vector_and_shards(spark, monkeypatch):
+    monkeypatch.setattr(c, "SHARD_ROWS", 20)
     rng = np.random.default_rng(1)
     base = rng.standard_normal(8)
     rows = [(i, [1.0] * 8) for i in range(200)] + [(200 + i, list(map(float, base + 0.01 * rng.standard_normal(8)))) for i in range(150)]
@@ -62,16 +65,37 @@ def test_hot_vector_and_chunks(spark, monkeypatch):
     got = answers(c.search(df.where("vec_id % 20 = 0"), df))
     want = brute(rows, 20, lambda i: i % 20 == 0)
     assert [i for i, _ in got[40]] == [i for i in range(21) if i != 40][:20]
-    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
-    assert got.keys() == want.keys() and hits / sum(map(len, want.values())) >= 0.9
+    assert got.keys() == want.keys() and recall(got, want) >= 0.9
 
 
-def test_recall_does_not_depend_on_size(spark, monkeypatch):
-    """Once, more than BUCKET vectors a bucket called for buckets of two parts, and 12 probes then saw 1% of the vectors."""
-    monkeypatch.setattr(c, "BUCKET", 10, raising=False)
+def test_settings_keep_recall_with_few_candidates(spark):
+    """Buckets of two and three axes, each with the probes that measuring asks for, compare far fewer than all."""
     rows = table(spark, "/root/testdata/sf0.1", "embeddings")
-    got = answers(c.search(rows.where("vec_id % 20 = 0"), rows))
     want = brute([(r.vec_id, r.embedding) for r in rows.collect()], 20, lambda i: i % 20 == 0)
-    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
-    recall = hits / sum(map(len, want.values()))
-    assert recall >= 0.9, recall
+    for setting, least in (((1, 12), 0.9), ((2, 700), 0.9), ((3, 12), 0.0)):
+        got = answers(c.search(rows.where("vec_id % 20 = 0"), rows, setting=setting))
+        assert recall(got, want) >= least and all(len(got[q]) == 20 for q in want), setting
+    x = np.array([r.embedding for r in rows.collect()], float)
+    share = lambda s: c.Index(x, [[i] for i in range(len(x))], s).candidates(x[::20]).mean()
+    assert share((2, 700)) < 0.35 < share((1, 12)) < 0.55
+
+
+def test_measured_setting_is_cheaper_among_closer_neighbours(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((300, 32))
+    x = np.repeat(centres, 30, 0) + 0.2 * rng.standard_normal((9000, 32))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    own, distinct = c.usable(rows.where("vec_id % 20 = 0"), "vec_id", "embedding"), c.usable(rows, "vec_id", "embedding").selectExpr("v", "dims", "array(id) AS ids")
+    setting = c.tune(own, distinct, 20)[32]
+    assert c.Index(x, [[i] for i in range(len(x))], setting).candidates(x[::20]).mean() < 0.1
+    got = answers(c.search(rows.where("vec_id % 20 = 0"), rows))
+    assert recall(got, brute(list(enumerate(x.tolist())), 20, lambda i: i % 20 == 0)) >= 0.9
+
+
+def test_long_vectors_in_other_directions_are_found(spark):
+    """Inner products of vectors of very different norms: the measurement asks for more buckets."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 16)) * np.exp(2 * rng.standard_normal((600, 1)))
+    rows = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert recall(answers(c.search(df.where("vec_id % 20 = 0"), df)), brute(rows, 20, lambda i: i % 20 == 0)) >= 0.9
