@@ -48,3 +48,66 @@ def test_no_labels_and_empty_table(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([], "page_id long, url string")
     assert u.mine(pages, labels) == [] and u.judge(pages, []).count() == 0
+
+
+def test_labels_of_chance_give_no_rules(spark):
+    rng = random.Random(8)
+    rows = [(i, f"http://{rng.choice('abcde')}.{rng.choice(['x', 'y'])}.com/{rng.choice(['en', 'de', 'fr'])}/{i}", rng.random() < 0.26) for i in range(2000)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], None, int(r[2])) for r in rows], "doc_id long, quality int, toxic int")
+    assert u.mine(pages, labels, confidence=0.27, lift=1.05) == []
+
+
+def test_toxic_alone_lift_and_templates(spark):
+    """Labels without a quality count; a host blocked at twice the usual share is found; tokens of one template (25 of
+    them, on the same pages) are one item, and repeated rows are one page."""
+    rng = random.Random(3)
+    template = "/".join(f"t{'abcdefghijklmnopqrstuvwxyz'[k]}" for k in range(25))
+    rows = []
+    for i in range(3000):
+        bad_host = i % 5 == 0
+        rows.append((i, f"http://{'farm' if bad_host else 'site'}.org/{template if bad_host else 'x'}/{i}", rng.random() < (0.6 if bad_host else 0.2)))
+    pages = spark.createDataFrame([r[:2] for r in rows] * 2, "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], None, int(r[2])) for r in rows], "doc_id long, quality int, toxic int")
+    rules = u.mine(pages, labels)
+    assert len(rules) == 1 and len(rules[0]) == 1
+    judged = {r.page_id: r.verdict for r in u.judge(pages, rules).collect()}
+    assert all((judged[i] == "block") == (i % 5 == 0) for i, _, _ in rows)
+
+
+def test_tables_of_the_driver_carry_no_signal(spark):
+    """sf0.1: 971 labelled pages, 252 blocked; no token or combination is blocked beyond chance, so nothing is mined."""
+    base = "/root/testdata/sf0.1"
+    assert u.mine(spark.read.parquet(f"{base}/pages.parquet"), spark.read.parquet(f"{base}/labels.parquet")) == []
+
+
+def brute_verdict(url, rules, mined):
+    text = url if url is not None and "://" in url else None
+    host = path = ""
+    if text is not None:
+        rest = text[text.index("://") + 3 :]
+        cut = min([rest.index(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, tail = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
+        path = tail[: min([tail.index(c) for c in "?#" if c in tail] or [len(tail)])]
+    fits = []
+    for rule, verdict in rules:
+        at = rule.index("/")
+        if (host == rule[:at] or host[-at - 1 :] == "." + rule[:at]) and path[: len(rule) - at] == rule[at:]:
+            fits.append((-len(rule), rule, verdict))
+    if fits:
+        return host, path, min(fits)[1], min(fits)[2]
+    have = set(u.tokens(url))
+    return host, path, None, "block" if any(set(m) <= have for m in mined) else "allow"
+
+
+def test_whole_verdict_against_brute_force(spark, sf_dir):
+    urls = [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").collect()]
+    rng = random.Random(9)
+    for _ in range(400):
+        urls.append(rng.choice(["http", "HTTPS", "x"]) + rng.choice(["://", ":/"]) + rng.choice(["a.Example", "example", "notexample", ""]) + rng.choice([".com", ".NET", ".org", ""]) + rng.choice(["/en/7", "/de/8", "/es/", "/en", "?q=/en/", "#/de/", ""]) + rng.choice(["", "1", "/x://y", "?k=v&utm=1"]))
+    urls += [None, "", "://", "http://" + "a." * 5000 + "com/en/" + "x/" * 20000, "http://é.COM/en/"] + urls[:3]
+    rules = (*u.RULES, ("com/de/", "block"), ("com/e", "allow"), ("org/es", "allow"))
+    mined = [("h:blog", "q:utm_source"), ("p:de",), ("h:example", "q:k")]
+    df = spark.createDataFrame([(i, x, "clash", i) for i, x in enumerate(urls)], "page_id long, url string, verdict string, host int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in u.judge(df, mined, rules).collect()}
+    assert got == {i: brute_verdict(x, rules, mined) for i, x in enumerate(urls)}
