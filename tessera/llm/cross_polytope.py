@@ -29,12 +29,12 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import materialize, shuffle_partitions
 
-TABLES, SHARD_ROWS, SHARD_BYTES = 8, 8192, 1 << 26
+TABLES, SHARD_ROWS, SHARD_BYTES = 8, 16384, 1 << 26
 """Tables; vectors of a shard, while there are fewer shards than shuffle partitions; bytes of a shard at most."""
-TARGET, SAMPLE_QUERIES, SAMPLE_VECTORS, SAMPLED_LENGTHS = 0.95, 200, 2000, 8
+TARGET, SAMPLE_QUERIES, SAMPLE_VECTORS, SAMPLED_LENGTHS = 0.95, 100, 2000, 8
 """Share of the true neighbours to collect; queries and vectors that it is measured on, for each of the commonest
 vector lengths (others are compared with all vectors)."""
-PARTS = {1: 4096, 2: 1024, 3: 2048}
+PARTS = {1: 4096, 2: 1024, 3: 1024}
 """Axes of a bucket that are tried, with the most probes of each."""
 BLOCK = 128
 Setting = tuple[int, int]
@@ -58,8 +58,8 @@ def rotate(x: np.ndarray, flips: np.ndarray) -> np.ndarray:
     return x / np.float32(n**1.5)
 
 
-def probes(x: np.ndarray, table: int, parts: int, count: int) -> np.ndarray:
-    """The ``count`` best buckets of each row in one table (fewer if there are fewer), nearest first."""
+def probes(x: np.ndarray, table: int, parts: int, count: int, ordered: bool = True) -> np.ndarray:
+    """The ``count`` best buckets of each row in one table (fewer if there are fewer), nearest first (or in any order)."""
     dims = 1 << max(0, (x.shape[1] - 1).bit_length())
     padded = np.zeros((len(x), dims), np.float32)
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares of tiny or huge components stay numbers
@@ -68,7 +68,7 @@ def probes(x: np.ndarray, table: int, parts: int, count: int) -> np.ndarray:
     for part in range(parts):
         y = rotate(padded, signs(dims, table, part))
         both = np.concatenate([y, -y], 1)
-        order = np.argsort(-both, axis=1, kind="stable")[:, :count]
+        order = np.argsort(-both, axis=1, kind="stable")[:, :count] if count > 1 else both.argmax(1)[:, None]
         value = np.take_along_axis(both, order, 1)
         cost = (value[:, :1] - value) ** 2
         # Both ascend: the pair (i, j) has (i + 1) * (j + 1) - 1 others before it and counts only if those are fewer.
@@ -76,7 +76,10 @@ def probes(x: np.ndarray, table: int, parts: int, count: int) -> np.ndarray:
         able = (i + 1) * (j + 1) <= count
         i, j = i[able], j[able]
         codes, costs = codes[:, i] * (2 * dims) + order[:, j], costs[:, i] + cost[:, j]
-        best = np.argsort(costs, axis=1, kind="stable")[:, :count]
+        if ordered or part < parts - 1:
+            best = np.argsort(costs, axis=1, kind="stable")[:, :count]
+        else:
+            best = np.argpartition(costs, min(count, costs.shape[1]) - 1, axis=1)[:, :count]
         codes, costs = np.take_along_axis(codes, best, 1), np.take_along_axis(costs, best, 1)
     return codes
 
@@ -114,7 +117,7 @@ class Index:
             return ~out
         parts, count = self.setting
         for t, (buckets, bucket_of) in enumerate(self.tables):
-            wanted = probes(q, t, parts, count)
+            wanted = probes(q, t, parts, count, ordered=False)
             place = np.minimum(np.searchsorted(buckets, wanted), len(buckets) - 1)
             open_ = np.zeros((len(q), len(buckets)), bool)
             row, probe = np.nonzero(buckets[place] == wanted)
