@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
+from tessera.sources.shared import shared_dir
+
 WS = r"\x20\x09-\x0D"
 """Body of the character class that separates words."""
 
@@ -16,19 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests on one machine) a new local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _own[app]
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new name in the folder of this application's intermediate tables, which all executors share."""
+    return f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex}"
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that were not written elsewhere go with them."""
+    _delete(spark, _folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -42,13 +46,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a materialized table that nothing will read again."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_tessera_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -32,7 +32,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ends = left.join(root.select(F.col("node").alias("a"), F.col("parent").alias("__a")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("parent").alias("__b")), "b", "left")
         ends = ends.select(F.coalesce("__a", "a").alias("a"), F.coalesce("__b", "b").alias("b")).where("a <> b")
         rest = materialize(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        for old in (left, label, parent):
-            discard(old)
+        discard(left, label, parent)
         left, label = rest, new
     return label

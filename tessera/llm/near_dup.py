@@ -2,17 +2,20 @@
 
 A set of word shingles gets a signature of SYMBOLS min-hashes. Two sets of similarity s differ in a binomial
 number of symbols; the threshold ERRORS is chosen so that a pair at the least similarity exceeds it with a
-chance under 1e-8. Signatures are split into CHUNKS pieces; by pigeonhole, two signatures within ERRORS agree
+chance under 1e-7. Signatures are split into CHUNKS pieces; by pigeonhole, two signatures within ERRORS agree
 in one piece but for at most ERRORS // CHUNKS symbols, and the pieces with that many symbols left out are the
 keys of the index. Every pair within the threshold therefore meets under a key.
 
-Equal sets are one node. Under a key no pairs are emitted but a spanning forest of the pairs within ERRORS; the
-forests' components (candidate groups) bring the whole texts together once, and links are confirmed on full
-sets. Keys and groups beyond UNIT members are dealt to tasks by pairs of parts, so that none is gathered.
+Equal sets (by 128-bit hashes) are one node, named by its smallest doc_id. Under a key no pairs are emitted but a
+spanning forest of the pairs within ERRORS whose sizes allow the similarity; the forests' components (candidate
+groups) bring the whole texts together, and links are confirmed on full sets. Keys and groups beyond a unit are dealt
+to tasks (see ``groups``), so that none is gathered.
 
 Defined results: A-Z are lower-cased, words are [^\\x20\\x09-\\x0D]+; a text with fewer words than a shingle is
 one shingle; null, empty and wordless text has none and is linked with nothing; a null doc_id is linked with
-nothing (null component, kept); repeated rows are copies; extra columns are ignored.
+nothing (null component, kept); repeated rows are copies; different texts under one doc_id are one node where that id
+is the smallest of their sets; extra columns are ignored. ``keep_one`` keeps one row of each component, wordless rows
+all, and treats a null doc_id as a number below all others.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, shuffle_partitions
+from tessera.llm import groups
+from tessera.llm.common import discard, materialize, shuffle_partitions
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import mix, shingle_set
 
 SYMBOLS, ERRORS, CHUNKS = 64, 27, 14
-"""At a similarity of 0.85, 64 symbols differ in 9.6 on average (deviation 2.9): more than 27 has a chance under 1e-8."""
-UNIT = 4096
+"""At a similarity of 0.85, 64 symbols differ in 9.6 on average (deviation 2.9): more than 27 has a chance of 3.5e-8."""
 _FACTORS = np.random.default_rng(64).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -99,47 +102,19 @@ def _keys(nodes: DataFrame, errors: int, chunks: int) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def in_units(rows: DataFrame, sizes: DataFrame, key: str, member: str, unit: int) -> DataFrame:
-    """rows with ``pair``: 0 for a key of up to ``unit`` members; a larger key's members are dealt to parts, and each
-    member goes to every pair of parts that holds its own, so that any two members meet."""
-    big = sizes.where(F.col("__n") > unit).select(key, F.ceil(2 * F.col("__n") / unit).cast("int").alias("__parts"))
-    out = rows.join(big, key, "left")
-    parts, own = F.coalesce("__parts", F.lit(1)), F.pmod(F.xxhash64(member), F.coalesce("__parts", F.lit(1))).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j))
-    return out.withColumn("pair", F.explode(F.when(parts == 1, F.array(F.lit(0))).otherwise(pairs))).drop("__parts")
-
-
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of equal values in the first ``keys`` columns of sorted batches, across batch bounds."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not len(b):
-            continue
-        columns = [np.asarray(b.column(i)) for i in range(keys)]
-        change = np.zeros(len(b), bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.nonzero(change)[0].tolist(), len(b)]
-        for i, j in zip(starts[:-1], starts[1:], strict=True):
-            now = tuple(c[i] for c in columns)
-            if now != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = now
-            held.append(b.slice(i, j - i))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def forest(sig: np.ndarray, errors: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the rows within ``errors`` symbols of each other."""
+def alike(sig: np.ndarray, n: np.ndarray, s: np.ndarray, m: np.ndarray, errors: int, percent: int) -> np.ndarray:
+    """Whether signatures are within ``errors`` and the sets' sizes n and m allow a similarity of ``percent``."""
+    return ((sig != s).sum(-1) <= errors) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def forest(sig: np.ndarray, n: np.ndarray, errors: int, percent: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the rows that are ``alike``."""
     left, edges = np.arange(len(sig)), []
     while len(left) > 1:
         ready, left = [left[0]], left[1:]
         while ready and len(left):
             f = ready.pop()
-            near = (sig[left] != sig[f]).sum(1) <= errors
+            near = alike(sig[left], n[left], sig[f], n[f], errors, percent)
             found = left[near]
             if len(found):
                 edges += [(int(f), int(x)) for x in found]
@@ -148,18 +123,36 @@ def forest(sig: np.ndarray, errors: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _edges(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
+def _repeated(keys: DataFrame) -> DataFrame:
+    """The rows (key, node) whose key another row has: a scan in the keys' order that holds one row."""
 
-def candidate_groups(nodes: DataFrame, errors: int, chunks: int) -> DataFrame:
-    """node, component of the nodes (node, sig) that have another within ``errors`` symbols."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None  # the last key, and its row as long as it stands alone
+        for b in batches:
+            if not len(b):
+                continue
+            key = np.asarray(b.column(0))
+            same = key[1:] == key[:-1]
+            twice = np.concatenate([[last is not None and key[0] == last], same])
+            if held is not None and twice[0]:
+                yield held
+            twice[:-1] |= same
+            held = None if twice[-1] else b.slice(len(b) - 1)
+            last = key[-1]
+            if twice.any():
+                yield b.take(pa.array(np.nonzero(twice)[0]))
+
+    dealt = keys.repartition(shuffle_partitions(keys.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key long, node long")
+
+
+def candidate_groups(nodes: DataFrame, errors: int, chunks: int, percent: int) -> DataFrame:
+    """node, component of the nodes (node, sig, n) that have another one alike."""
     spark = nodes.sparkSession
-    keys = _keys(nodes, errors, chunks)
-    sizes = keys.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1")
-    met = keys.join(sizes, "key").select("key", "node", "__n")
-    met = met.join(nodes.select("node", "sig"), "node")
-    met = in_units(met.drop("__n"), sizes, "key", "node", UNIT) if not sizes.where(F.col("__n") > UNIT).isEmpty() else met.select("key", "node", "sig", F.lit(0).alias("pair"))
+    met = materialize(_repeated(_keys(nodes, errors, chunks)), "keys")
+    hot = materialize(met.groupBy("key").agg(F.count("*").alias("__n")).where(F.col("__n") > groups.UNIT).select("key"), "hot-keys")
+    signed = lambda df: df.join(nodes.select("node", "sig", "n"), "node")
+    rows = signed(met if hot.isEmpty() else met.join(hot, "key", "left_anti"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -173,48 +166,54 @@ def candidate_groups(nodes: DataFrame, errors: int, chunks: int) -> DataFrame:
             if carry is None:
                 continue
             carry = carry.combine_chunks()
-            key, pair = carry["key"].to_numpy(), carry["pair"].to_numpy()
-            change = np.nonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))[0] + 1
+            key = carry["key"].to_numpy()
+            change = np.nonzero(key[1:] != key[:-1])[0] + 1
             whole = len(key) if b is None else (int(change[-1]) if len(change) else 0)
             if not whole:
                 continue
             bounds = np.concatenate([[0], change[change < whole], [whole]])
-            node = carry["node"].to_numpy()[:whole]
+            node, n = carry["node"].to_numpy()[:whole], carry["n"].to_numpy()[:whole]
             sig = np.frombuffer(b"".join(carry["sig"].slice(0, whole).to_pylist()), np.uint16).reshape(whole, -1)
             size = np.diff(bounds)
             two = bounds[:-1][size == 2]
-            two = two[(sig[two] != sig[two + 1]).sum(1) <= errors]
+            two = two[alike(sig[two], n[two], sig[two + 1], n[two + 1], errors, percent)]
             pairs = set(zip(node[two].tolist(), node[two + 1].tolist(), strict=True))
             for i, j in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist(), strict=True):
-                pairs.update((int(node[i + x]), int(node[i + y])) for x, y in forest(sig[i:j], errors))
+                pairs.update((int(node[i + x]), int(node[i + y])) for x, y in forest(sig[i:j], n[i:j], errors, percent))
             new = {(min(p), max(p)) for p in pairs} - seen
             if new:
                 a, c = zip(*new, strict=True)
-                yield _edges(list(a), list(c))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
             seen = new if len(seen) > 500_000 else seen | new
             carry = carry.slice(whole)
 
-    dealt = met.select("key", "pair", "node", "sig").repartition(shuffle_partitions(spark), "key", "pair").sortWithinPartitions("key", "pair")
-    return connected_components(dealt.mapInArrow(run, "a long, b long"))
+    dealt = rows.select("key", "node", "sig", "n").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    edges = dealt.mapInArrow(run, "a long, b long")
+    if not hot.isEmpty():
 
+        def of_unit(t: pa.Table) -> list[tuple]:
+            node, n = t["node"].to_numpy(), t["n"].to_numpy()
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(t), -1)
+            return [(int(node[x]), int(node[y])) for x, y in forest(sig, n, errors, percent)]
 
-def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Star edges of the components in which 100 * intersection >= percent * union, by an inverted index over the
-    shingles that a partner must share (the rarest n - ceil(percent * n / 100) + 1 of a set)."""
+        many = signed(met.join(hot, "key", "left_semi")).select(F.col("key").alias("group"), "node", F.lit(200).alias("weight"), "sig", "n")
+        edges = edges.unionByName(groups.linked(materialize(many, "hot-key-rows"), of_unit))
+    out = connected_components(edges)
+    discard(met, hot)
+    return out
+
+
+def links(sets: list[np.ndarray], percent: int, known: list | None = None) -> list[tuple[int, int]]:
+    """Pairs that join the components in which 100 * intersection >= percent * union, by an inverted index over the
+    shingles that a partner must share (the rarest n - ceil(percent * n / 100) + 1 of a set). Sets of one known class
+    are not compared."""
     n = len(sets)
+    classes, found = groups.Classes(known or [None] * n), []
     sizes = np.array([len(s) for s in sets])
     unique, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(unique), np.int64)
     rank[np.argsort(df, kind="stable")] = np.arange(len(unique))
     ids = np.split(rank[inverse], np.cumsum(sizes)[:-1])
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
     postings: dict[int, list[int]] = {}
     for i in np.argsort(sizes, kind="stable").tolist():
         mine = np.sort(ids[i])
@@ -225,40 +224,38 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
                 if j in tried:
                     continue
                 tried.add(j)
-                if 100 * sizes[j] < percent * sizes[i] or find(i) == find(j):
+                if 100 * sizes[j] < percent * sizes[i] or classes.find(i) == classes.find(j):
                     continue
                 both = len(np.intersect1d(ids[i], ids[j], assume_unique=True))
                 if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                    root[find(i)] = find(j)
+                    classes.join(i, j)
+                    found.append((i, j))
         for t in prefix:
             postings.setdefault(t, []).append(i)
-    return [(find(i), i) for i in range(n) if find(i) != i]
+    return found
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between nodes whose full sets reach the similarity. nodes: node, rep, skey."""
-    spark = docs.sparkSession
-    grouped = candidates.join(nodes.select("node", "rep", "skey"), "node").select(F.col("component").alias("group"), "node", "rep", "skey")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(grouped, "rep")
-    sizes = candidates.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("__n"))
-    texts = in_units(texts, sizes, "group", "node", UNIT) if not sizes.where(F.col("__n") > UNIT).isEmpty() else texts.withColumn("pair", F.lit(0))
+    """Links (a, b) between nodes whose full sets reach the similarity. nodes: node, skey."""
+    grouped = candidates.join(nodes.select("node", "skey"), "node").select(F.col("component").alias("group"), "node", "skey")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(grouped, "node")
+
+    def of_unit(t: pa.Table) -> list[tuple]:
+        sets, own, known, seen = [], [], [], set()
+        for node, skey, text, class_ in zip(t["node"].to_pylist(), t["skey"].to_pylist(), t["text"], t["class"].to_pylist(), strict=True):
+            if (node, skey) in seen:
+                continue
+            s = shingle_set(text.as_py())
+            # Of rows that share the id with the set's row, another text's is not meant.
+            if xxhash.xxh3_128_digest(s.tobytes()) == skey:
+                seen.add((node, skey))
+                sets.append(s)
+                own.append(node)
+                known.append(class_)
+        return [(own[i], own[j]) for i, j in links(sets, percent, known)] if len(sets) > 1 else []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, 2):
-            sets, own, seen = [], [], set()
-            for node, skey, text in zip(t["node"].to_pylist(), t["skey"], t["text"], strict=True):
-                s = shingle_set(text.as_py())
-                # Of rows that share the id with the set's row, another text's is not meant.
-                if node not in seen and xxhash.xxh3_128_digest(s.tobytes()) == skey.as_py():
-                    sets.append(s)
-                    own.append(node)
-                    seen.add(node)
-            found = links(sets, percent) if len(sets) > 1 else []
-            if found:
-                yield _edges([own[i] for i, _ in found], [own[j] for _, j in found])
-
-    dealt = texts.select("group", "pair", "node", "skey", "text").repartition(shuffle_partitions(spark), "group", "pair").sortWithinPartitions("group", "pair")
-    return dealt.mapInArrow(run, "a long, b long")
+    rows = texts.select("group", "node", F.octet_length("text").alias("weight"), "skey", "text")
+    return groups.linked(materialize(rows, "candidate-texts"), of_unit)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -266,25 +263,46 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return _marked(docs, percent).drop("tid")
 
 
-def keep_one(docs: DataFrame, percent: int) -> DataFrame:
-    """The rows of docs that are kept. Rows that repeat both doc_id and text stay or go together."""
-    kept = _marked(docs.select("doc_id", "text"), percent).where("kept").select(F.col("doc_id").alias("__d"), F.col("tid").alias("__t"))
-    own = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__tid"))
-    return own.join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__tid") == F.col("__t")), "left_semi").select("__row.*")
+def keep_one(docs: DataFrame, percent: int, judged_by: DataFrame | None = None) -> DataFrame:
+    """One row of each component of docs, and all rows without words. ``judged_by`` (doc_id, text) has the texts that
+    decide; a document that it lacks is judged by its own."""
+    # A null id becomes a number of its own text below all others, so that such rows are compared too.
+    numbered = lambda df: df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.abs(F.xxhash64("text") % (1 << 61))).alias("doc_id"), "text")
+    own = numbered(docs)
+    if judged_by is not None:
+        theirs = judged_by.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        ids = own.select("doc_id").distinct()
+        own = theirs.join(ids, "doc_id", "left_semi").unionByName(own.join(theirs.select("doc_id").distinct(), "doc_id", "left_anti"))
+        own = materialize(own, "judged-texts")
+    marks = materialize(_marked(own, percent), "marks")
+    by_id = judged_by is not None
+    keys = ["doc_id"] if by_id else ["doc_id", "tid"]
+    # Of the rows with a component's id the first one stays; wordless rows all do.
+    best = marks.where("kept AND n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
+    stay = best.unionByName(marks.where("n_shingles = 0").select(*keys)).distinct()
+    stay = stay.select(*(F.col(c).alias(f"__{c}") for c in keys))
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.abs(F.xxhash64("text") % (1 << 61)))
+    rows = docs.select(F.struct("*").alias("__row"), number.alias("__id"), F.xxhash64("text").alias("__t"))
+    same = (F.col("__id") == F.col("__doc_id")) if by_id else (F.col("__id") == F.col("__doc_id")) & F.col("__t").eqNullSafe(F.col("__tid"))
+    kept = rows.join(stay, same, "left_semi")
+    # Rows that repeat a kept one (rare, so looked for before texts are shuffled for it).
+    again = materialize(kept.where(F.col("__row.text").isNotNull()).groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1").select("__id"), "repeated-ids")
+    if again.isEmpty():
+        return kept.select("__row.*")
+    repeated = kept.join(again, "__id", "left_semi").dropDuplicates(["__id"])
+    return kept.join(again, "__id", "left_anti").unionByName(repeated).select("__row.*")
 
 
 def _marked(docs: DataFrame, percent: int) -> DataFrame:
     _, errors, chunks = parameters(percent)
     own = materialize(describe(docs), "signatures")
-    sets = own.where("skey is not null and doc_id is not null").groupBy("skey").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    node = F.conv(F.hex(F.substring("skey", 1, 7)), 16, 10).cast("long")  # 56 bits of the set's hash
-    nodes = materialize(sets.select(node.alias("node"), "rep", "skey", "sig"), "sets")
-    candidates = candidate_groups(nodes, errors, chunks)
+    sets = own.where("skey IS NOT NULL AND doc_id IS NOT NULL").groupBy("skey").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    nodes = materialize(sets, "sets")
+    candidates = candidate_groups(nodes, errors, chunks, percent)
     linked = connected_components(confirmed(docs, nodes, candidates, percent))
-    least = linked.join(nodes.select("node", "rep"), "node")
-    lowest = least.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_set = least.join(lowest, "component").select("node", "component_id")
-    of_set = nodes.select("node", "rep", "skey").join(of_set, "node", "left").select("skey", F.coalesce("component_id", "rep").alias("component_id"))
+    discard(candidates)
+    # A node is a doc_id, so a component's smallest node is the smallest doc_id in it.
+    of_set = nodes.select("skey", "node").join(linked, "node", "left").select("skey", F.coalesce("component", "node").alias("component_id"))
     out = own.drop("sig").join(of_set, "skey", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "tid", "n_shingles", component.cast("long").alias("component_id"))

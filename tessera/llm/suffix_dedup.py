@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.anchors import GRAM, anchor_positions, anchors_of, neighbours
 from tessera.llm.common import materialize, shuffle_partitions
+from tessera.llm.groups import runs
 
 SPAN = 200
 REACH = SPAN - GRAM
@@ -266,10 +267,8 @@ def _array_spans(units: DataFrame) -> DataFrame:
     spark = units.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.near_dup import groups
-
         held, windows = [], 0
-        for g in groups(batches, 1):
+        for g in runs(batches, 1):
             if len(g) < 2:
                 continue
             mine = len(g) * (HALF + 1)

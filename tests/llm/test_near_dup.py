@@ -57,7 +57,8 @@ def test_matches_brute_force(spark):
 
 
 def test_large_keys_and_groups_are_dealt_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(n, "UNIT", 6)
+    monkeypatch.setattr(n.groups, "UNIT", 6)
+    monkeypatch.setattr(n.groups, "HUBS", 2)
     rows = corpus(random.Random(5), families=4, copies=30)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, n.near_duplicates(df).collect()), key=str) == brute(rows)
@@ -96,7 +97,7 @@ def test_forest_joins_what_lies_within(size):
     near = (sig[:, None] != sig[None]).sum(2) <= 3
     reach = np.linalg.matrix_power(near.astype(float), size) > 0
     label = np.arange(size)
-    for a, b in n.forest(sig, 3):
+    for a, b in n.forest(sig, np.full(size, 9), 3, 85):
         label[label == label[b]] = label[a]
     assert ((label[:, None] == label[None]) == reach).all()
 
