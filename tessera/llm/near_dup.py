@@ -14,8 +14,8 @@ to tasks (see ``groups``), so that none is gathered.
 Defined results: A-Z are lower-cased, words are [^\\x20\\x09-\\x0D]+; a text with fewer words than a shingle is
 one shingle; null, empty and wordless text has none and is linked with nothing; a null doc_id is linked with
 nothing (null component, kept); repeated rows are copies; different texts under one doc_id are one node where that id
-is the smallest of their sets; extra columns are ignored. ``keep_one`` keeps one row of each component, wordless rows
-all, and treats a null doc_id as a number below all others.
+is the smallest of their sets; extra columns are ignored. ``keep_one`` keeps one row of each component and wordless
+rows all, whatever their ids.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import groups
-from tessera.llm.common import discard, materialize, shuffle_partitions
+from tessera.llm.common import WS, discard, materialize, shuffle_partitions
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import mix, shingle_set
 
@@ -265,32 +265,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int, judged_by: DataFrame | None = None) -> DataFrame:
     """One row of each component of docs, and all rows without words. ``judged_by`` (doc_id, text) has the texts that
-    decide; a document that it lacks is judged by its own."""
-    # A null id becomes a number of its own text below all others, so that such rows are compared too.
-    numbered = lambda df: df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.abs(F.xxhash64("text") % (1 << 61))).alias("doc_id"), "text")
-    own = numbered(docs)
+    decide; a document whose id it lacks or repeats is judged by its own.
+
+    Rows whose doc_id is null or stands for several texts are told apart by number, a hash below all other ids."""
+    text_hash = F.xxhash64("text")
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("__d")).agg(F.count("*").alias("__n"), (F.min(text_hash) != F.max(text_hash)).alias("__several"))
+    odd = materialize(ids.where("__n > 1 OR __d IS NULL").select("__d", F.coalesce("__several", F.lit(True)).alias("__several")), "repeated-ids")
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), "text")
+    plain = odd.isEmpty()
+    if not plain:
+        number = F.lit(-(1 << 62)) - F.abs(F.xxhash64("__id", "text") % (1 << 61))
+        rows = rows.join(odd, F.col("__id").eqNullSafe(F.col("__d")), "left").withColumn("__id", F.when(F.col("__id").isNull() | F.col("__several"), number).otherwise(F.col("__id")))
+    own = rows.select(F.col("__id").alias("doc_id"), "text")
     if judged_by is not None:
         theirs = judged_by.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        ids = own.select("doc_id").distinct()
-        own = theirs.join(ids, "doc_id", "left_semi").unionByName(own.join(theirs.select("doc_id").distinct(), "doc_id", "left_anti"))
-        own = materialize(own, "judged-texts")
-    marks = materialize(_marked(own, percent), "marks")
-    by_id = judged_by is not None
-    keys = ["doc_id"] if by_id else ["doc_id", "tid"]
-    # Of the rows with a component's id the first one stays; wordless rows all do.
-    best = marks.where("kept AND n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
-    stay = best.unionByName(marks.where("n_shingles = 0").select(*keys)).distinct()
-    stay = stay.select(*(F.col(c).alias(f"__{c}") for c in keys))
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.abs(F.xxhash64("text") % (1 << 61)))
-    rows = docs.select(F.struct("*").alias("__row"), number.alias("__id"), F.xxhash64("text").alias("__t"))
-    same = (F.col("__id") == F.col("__doc_id")) if by_id else (F.col("__id") == F.col("__doc_id")) & F.col("__t").eqNullSafe(F.col("__tid"))
-    kept = rows.join(stay, same, "left_semi")
-    # Rows that repeat a kept one (rare, so looked for before texts are shuffled for it).
-    again = materialize(kept.where(F.col("__row.text").isNotNull()).groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1").select("__id"), "repeated-ids")
-    if again.isEmpty():
+        once = theirs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n = 1").select("doc_id")
+        known = materialize(own.select("doc_id").distinct().join(once, "doc_id", "left_semi"), "known-ids")
+        own = materialize(theirs.join(known, "doc_id", "left_semi").unionByName(own.join(known, "doc_id", "left_anti")), "judged-texts")
+    stay = materialize(_marked(own, percent).where("kept").select(F.col("doc_id").alias("__stay")).distinct(), "staying")
+    kept = rows.join(stay, F.col("__id") == F.col("__stay"), "left_semi")
+    if plain:
         return kept.select("__row.*")
-    repeated = kept.join(again, "__id", "left_semi").dropDuplicates(["__id"])
-    return kept.join(again, "__id", "left_anti").unionByName(repeated).select("__row.*")
+    again = F.col("__several").isNotNull() & F.coalesce(F.col("text").rlike(f"[^{WS}]"), F.lit(False))
+    return kept.where(~again).unionByName(kept.where(again).dropDuplicates(["__id"])).select("__row.*")
 
 
 def _marked(docs: DataFrame, percent: int) -> DataFrame:

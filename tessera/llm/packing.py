@@ -30,7 +30,7 @@ from tessera.llm.common import materialize
 
 CAPACITY = 2048
 MARK = "\x01"
-GAP = 0.1
+GAP = 0.2
 """The fractional solution of each round needs at most so much more bins than its dual bound, as a share."""
 RATE, SLACK = 0.5, 0.05
 """Learning rate of the weights, and how far below its best a table of the knapsack still prices configurations."""
