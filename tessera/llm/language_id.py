@@ -23,7 +23,9 @@ from pyspark.sql.window import Window
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 PER_LANGUAGE, MOST_ROWS = 300, 6000
-"""Labelled texts that the network is fitted on: per language, and in all."""
+"""Labelled texts that the network is fitted on: per language, and in all (twice as many rows, if ids repeat)."""
+LEAST_BYTES = 32
+"""A window of a fitted piece has at least so many bytes of it, if the piece has."""
 UNDETERMINED = "und"
 BATCH = 256
 PAD = 256
@@ -122,15 +124,14 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame) -> Network | None:
     """Learns from documents that are not held out and have a lang: per language those with the smallest hashes of
-    their id, and of each at most four windows, spread over its text."""
+    their id, and of each four pieces of WINDOW characters, spread over its text, with all their bytes."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "lang").withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= PER_LANGUAGE)
     ids = ids.orderBy("__r", "lang").limit(MOST_ROWS).select(F.col("doc_id").alias("__id"))
     n = F.length("text")
     parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.substring(F.col("text"), (n * k / 4).cast("int") + 1, F.lit(WINDOW)))
-    rows = known.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", "lang", parts.alias("parts")).limit(2 * MOST_ROWS).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
+    rows = known.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", "lang", parts.alias("parts")).orderBy("doc_id", "lang", "parts").limit(2 * MOST_ROWS).collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
@@ -138,8 +139,9 @@ def fit(docs: DataFrame) -> Network | None:
     for r in rows:
         for part in dict.fromkeys(r["parts"]):
             if part and any(map(str.isalpha, part)):
-                x.append(windows(part.encode())[0])
-                y.append(languages.index(r["lang"]))
+                rows_of = [w for w in windows(part.encode()) if (w != PAD).sum() >= min(LEAST_BYTES, len(part))]
+                x += rows_of
+                y += [languages.index(r["lang"])] * len(rows_of)
     return train(np.array(x), np.array(y), languages) if x else None
 
 

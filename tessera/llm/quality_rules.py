@@ -24,7 +24,9 @@ SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_lines", "repeat_share")
 SAMPLE_ROWS = 6000
-"""At most so many labelled rows are fitted on (those with the smallest hash of their id)."""
+"""At most so many labelled ids are fitted on (those with the smallest hashes), and twice as many rows, if ids repeat."""
+MOST_RULES, MOST_CONDITIONS = 16, 4
+"""Rules of a list, and conditions of a rule, at most."""
 
 
 def words_of(text: Column) -> Column:
@@ -162,7 +164,7 @@ def _prune(conditions: tuple, x: np.ndarray, bad: np.ndarray) -> tuple:
     return kept
 
 
-def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.95, most_rules: int = 16, most_conditions: int = 4) -> DecisionList:
+def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.95, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS) -> DecisionList:
     """Sequential covering: x holds a row of FEATURES for each labelled text, bad its label.
 
     Every third row is held back for pruning. A rule enters if its precision over all rows that no earlier rule
@@ -190,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Decision
         .orderBy(F.xxhash64("__id"), "__id").limit(rows)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-    got = statistics(texts).where(~base_failed()).select("doc_id", "__q", *(c.alias(f"f_{k}") for k, c in features().items())).limit(2 * rows).collect()
+    got = statistics(texts).where(~base_failed()).select("doc_id", "__q", *(c.alias(f"f_{k}") for k, c in features().items()))
+    got = got.orderBy("doc_id", *(f"f_{k}" for k in FEATURES)).limit(2 * rows).collect()
     got.sort(key=lambda r: (hash((r["doc_id"] * 2654435761) % 2**32), r["doc_id"]))
     if not got:
         return DecisionList()

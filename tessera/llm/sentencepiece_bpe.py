@@ -2,8 +2,8 @@
 
 A score-ordered agenda of adjacent symbol pairs merges each unit of a text; units are the parts between which
 no piece of the vocabulary reaches, so the ids of a text are those of its units in a row. Each unit that
-enters the cache is checked against the sentencepiece library, batch by batch, and where the two differ the
-library's ids are used (``Codec.mismatches`` counts them).
+enters the cache is checked against the sentencepiece library, batch by batch. Where the two differ the library's
+ids are used, and the result says so: ``mismatches`` counts such units of a document (none is known).
 
 Defined results: null text is empty text (no ids); very long texts are cut into units only; repeated rows give
 the same ids; extra columns are ignored.
@@ -45,7 +45,8 @@ class Codec:
         self.units = re.compile(" *[^ \n]+|\n| +").findall
         self.cache: dict[str, str] = {}
         self.differ: dict[str, bytes] = {}
-        self.mismatches = 0
+        self.mismatches: set[str] = set()
+        """Cached units whose agenda and library ids differ."""
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit (spaces already as SPACE)."""
@@ -103,7 +104,7 @@ class Codec:
             ids = ids if u[0] == " " < u else ids[2:]
             ours = self.merge(u.replace(" ", SPACE))
             if ours != ids:
-                self.mismatches += 1
+                self.mismatches.add(u)
                 ours = ids
             self.cache[u] = ",".join(map(decimal, ours))
             if (back := self.decode_bytes(ours)) != u.encode():
@@ -117,6 +118,7 @@ class Codec:
             if len(known) + len(missing) > CACHE_UNITS:
                 self.cache.clear()
                 self.differ.clear()
+                self.mismatches.clear()
                 missing = set().union(*out)
             self.learn(list(missing))
         return out
@@ -173,18 +175,19 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the same encoding and decoding, reduced in the worker."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, mismatches: the same encoding and decoding, reduced in the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(model), hashlib.sha256
         for b in batches:
-            n, a, d = [], [], []
+            n, a, d, m = [], [], [], []
             for chunk in _chunks(b.column(1)):
                 for units in c.parts(chunk):
                     ids = c.ids_text(units)
                     n.append(ids.count(",") + 1 if ids else 0)
                     a.append(sha(ids.encode()).hexdigest())
                     d.append(sha(c.decoded(units)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    m.append(sum(u in c.mismatches for u in units) if c.mismatches else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(m, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "mismatches"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, mismatches long")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import GRAM, anchor_positions, anchors_of, neighbours
-from tessera.llm.common import materialize, shuffle_partitions
+from tessera.llm.common import discard, materialize, shuffle_partitions
 from tessera.llm.groups import runs
 
 SPAN = 200
@@ -39,6 +39,8 @@ REACH = SPAN - GRAM
 HALF = REACH // 2
 UNIT = 8192
 """Contexts of a group that one task takes."""
+HOT = 10_000
+"""Rows of an anchor that are not shuffled by it; at most one key for as many rows is looked up for that."""
 WINDOWS = 60_000
 """Windows sorted at a time."""
 CHUNK = 1 << 18
@@ -312,9 +314,14 @@ def _spans(tables: list[pa.Table]) -> pa.RecordBatch:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """tid and spans (array of start, stop; not merged) of the texts that have any. docs: tid, doc_id, text."""
-    every = anchor_rows(docs)
-    twice = every.groupBy("akey").agg(F.count("*").alias("__n")).where("__n > 1").select("akey")
-    met = materialize(every.join(twice, "akey"), "anchors")  # written right after the join: a hot anchor can be split
+    every = materialize(anchor_rows(docs), "anchors")
+    twice = materialize(every.groupBy("akey").agg(F.count("*").alias("__n")).where("__n > 1"), "repeated-anchors")
+    # A hot anchor's rows stay where they are: of those keys there are few, and the join is for the others.
+    hot, others = (twice.where(F.col("__n") > HOT).select("akey"), twice.where(F.col("__n") <= HOT).select("akey"))
+    hot = materialize(hot, "hot-anchors")
+    met = every.join(others, "akey") if hot.isEmpty() else every.join(hot, "akey", "left_anti").join(others, "akey").unionByName(every.join(hot, "akey", "left_semi"))
+    met = materialize(met, "met-anchors")
+    discard(every, twice)
     kinds = met.groupBy("akey", "ckey", "halves").agg(F.count("*").alias("cn"), F.min(F.struct("tid", "spot")).alias("at"))
     kinds = materialize(kinds, "contexts")
     # Contexts that occur as a whole twice or more are repeats from end to end.

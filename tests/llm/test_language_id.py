@@ -49,3 +49,44 @@ def test_edge_rows(spark):
     assert g.fit(df.where("lang is null")) is None
     assert {r.lang_pred for r in g.predict(df, None).collect()} == {"und"}
     assert g.predict(df.limit(0), net).count() == 0
+
+
+def plain(net, data):
+    """Filters, maxima and softmax written out, over the windows that start every WINDOW - 3 bytes; weighted by bytes."""
+    total, starts = np.zeros(len(net.languages)), range(0, max(1, len(data) - 3), g.WINDOW - 3)
+    for start in starts:
+        x = [*data[start : start + g.WINDOW]]
+        n = len(x)
+        x += [g.PAD] * (g.WINDOW - n)
+        pooled = []
+        for w, r in zip(g.WIDTHS, net.responses, strict=True):
+            for f in range(g.FILTERS):
+                pooled.append(max(sum(float(r[j, x[i + j], f]) for j in range(w)) for i in range(g.WINDOW - w + 1)))
+        h = [max(0.0, p + float(b)) for p, b in zip(pooled, net.bias, strict=True)]
+        z = [sum(a * float(b) for a, b in zip(h, net.weight[:, k], strict=True)) + float(net.offset[k]) for k in range(len(net.languages))]
+        e = [np.exp(v - max(z)) for v in z]
+        total += n * np.array([v / sum(e) for v in e])
+    return total / total.sum()
+
+
+def test_prediction_is_the_plain_convolution(spark):
+    rng = random.Random(5)
+    net = g.Network.new(["", "aa", "und"], seed=3)
+    texts = ["a", "éa", "x" * 256, "".join(rng.choice("abc dé中") for _ in range(700)), "".join(rng.choice("abc d") for _ in range(253)), "".join(rng.choice("abc d") for _ in range(257))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in g.predict(df, net).collect()}
+    for i, t in enumerate(texts):
+        p = plain(net, t.encode())
+        assert abs(got[i].score - p.max()) < 1e-4 and (got[i].lang_pred == net.languages[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-4), i
+
+
+def test_labels_of_any_name_and_multi_byte_pieces(spark):
+    rng = random.Random(6)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    kinds = {"": "ağşıb ", "und": "中文字a ", "xx": "qwzyk "}
+    rows = [(10 * k + j, make(kinds[lang], 900), lang) for k in range(60) for j, lang in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = g.fit(df)
+    assert net.languages == ["", "und", "xx"]
+    held = [r for r in g.predict(df, net).join(df.select("doc_id", "lang"), "doc_id").collect() if r.held_out]
+    assert len(held) > 20 and all(r.lang == r.lang_pred for r in held)

@@ -54,3 +54,11 @@ def test_digests(spark, codec):
 
 def test_empty_table(spark):
     assert s.digests(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
+
+
+def test_mismatches_are_told(spark, codec, monkeypatch):
+    c = s.Codec(MODEL)
+    monkeypatch.setattr(c, "merge", lambda unit: [5] if unit == "▁odd" else codec.merge(unit))
+    assert c.encode("odd one") == c.lib.encode("odd one") and c.mismatches == {" odd"}
+    df = spark.createDataFrame([(1, "the odd thing")], "doc_id long, text string")
+    assert s.digests(df, MODEL).first().mismatches == 0
