@@ -57,7 +57,7 @@ add("filter_is_not_null", "SELECT count(*) AS n FROM documents WHERE text IS NOT
 add("filter_case_when", "SELECT o_orderkey FROM orders WHERE CASE WHEN o_orderstatus = 'F' THEN o_totalprice > 300000 ELSE o_totalprice > 400000 END")
 add("filter_boolean_precedence", "SELECT n_nationkey, (n_nationkey IN (1, 2, 3)) = (1 = 1) AS listed, (n_nationkey BETWEEN 1 AND 5) IS NOT NULL AS known FROM nation")
 add("filter_constant_predicate", "SELECT r_name FROM region WHERE 1 = 1 AND 2 + 3 = 5")
-add("filter_in_subquery_nested", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'EUROPE')))))")
+add("filter_in_subquery_nested", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'EUROPE' AND r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')))))))))")
 add("filter_scalar_subquery", "SELECT o_orderkey FROM orders WHERE (SELECT max(o_totalprice) FROM orders) * 0.9 < o_totalprice")
 add("filter_correlated_aggregate", "SELECT l.l_orderkey, l.l_linenumber FROM lineitem l WHERE l.l_quantity < (SELECT sum(b.l_quantity) / 50000 FROM lineitem b WHERE b.l_returnflag = l.l_returnflag)", "SELECT l.l_orderkey, l.l_linenumber FROM lineitem l JOIN (SELECT l_returnflag, sum(l_quantity) / 50000 AS q FROM lineitem GROUP BY l_returnflag) b ON b.l_returnflag = l.l_returnflag WHERE l.l_quantity < b.q")
 add("filter_scalar_subquery_null", "SELECT n_nationkey FROM nation WHERE (SELECT max(s_acctbal) FROM supplier WHERE s_nationkey = n_nationkey) IS NULL")
@@ -72,7 +72,7 @@ add("join_anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SE
 add("join_theta", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 add("join_self", "SELECT a.s_suppkey AS a_key, b.s_suppkey AS b_key FROM supplier a, supplier b WHERE a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 add("join_cartesian", "SELECT r_name, n_name FROM region, nation")
-add("join_multiway", "SELECT r1.r_name AS r, count(*) AS n FROM region r1, nation n1, customer, orders, lineitem, part, supplier, nation n2, region r2 WHERE r1.r_regionkey = n1.n_regionkey AND n1.n_nationkey = c_nationkey AND c_custkey = o_custkey AND o_orderkey = l_orderkey AND l_partkey = p_partkey AND l_suppkey = s_suppkey AND s_nationkey = n2.n_nationkey AND n2.n_regionkey = r2.r_regionkey AND r1.r_regionkey <> r2.r_regionkey AND p_size < 10 GROUP BY r1.r_name")
+add("join_multiway", "SELECT r1.r_name AS r, count(*) AS n FROM region r1, nation n1, customer, orders, lineitem, part, supplier, nation n2, region r2, nation n3 WHERE n3.n_nationkey = n1.n_nationkey AND r1.r_regionkey = n1.n_regionkey AND n1.n_nationkey = c_nationkey AND c_custkey = o_custkey AND o_orderkey = l_orderkey AND l_partkey = p_partkey AND l_suppkey = s_suppkey AND s_nationkey = n2.n_nationkey AND n2.n_regionkey = r2.r_regionkey AND r1.r_regionkey <> r2.r_regionkey AND p_size < 10 GROUP BY r1.r_name")
 add("join_broadcast_replicated", "SELECT n_name, count(*) AS suppliers FROM supplier, nation WHERE s_nationkey = n_nationkey GROUP BY n_name")
 add("join_expression_key", "SELECT o_orderkey FROM orders WHERE o_orderstatus || CAST(o_custkey AS VARCHAR(20)) IN (SELECT 'F' || CAST(c_custkey AS VARCHAR(20)) FROM customer WHERE c_acctbal < 0)")
 add("join_or_condition", "SELECT n.n_nationkey, r.r_regionkey FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey OR n.n_nationkey = r.r_regionkey")
@@ -114,6 +114,39 @@ add("str_substr_locate_length", "SELECT p_partkey, substr(p_name, 2, 5) AS mid,
 add("str_case", "SELECT n_nationkey, {fn UCASE(n_name)} AS u, {fn LCASE(n_name)} AS l FROM nation", "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l FROM nation")
 add("cast_matrix", "SELECT CAST('12' AS INTEGER) AS i, CAST(12 AS VARCHAR(4)) AS s, CAST('-7.02' AS DECIMAL(5,2)) AS d, CAST(3 AS DOUBLE) AS f, CAST(5.2419 AS DECIMAL(5,3)) AS r")
 add("ts_add_units", "SELECT o_orderkey, {fn timestampadd(SQL_TSI_DAY, 10, o_orderdate)} AS d, {fn timestampadd(SQL_TSI_MONTH, -2, o_orderdate)} AS m, {fn timestampadd(SQL_TSI_YEAR, 1, o_orderdate)} AS y FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 10 DAY AS d, o_orderdate - INTERVAL 2 MONTH AS m, o_orderdate + INTERVAL 1 YEAR AS y FROM orders")
-add("ts_parts", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, hour(o_orderdate) AS h FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(hour(o_orderdate) AS INTEGER) AS h FROM orders")
+add("ts_parts", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, hour(o_orderdate) AS h, minute(o_orderdate) AS mi, CAST(second(o_orderdate) AS INTEGER) AS s, CAST(EXTRACT(YEAR FROM o_orderdate) AS INTEGER) AS ey FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(hour(o_orderdate) AS INTEGER) AS h, CAST(minute(o_orderdate) AS INTEGER) AS mi, CAST(second(o_orderdate) AS INTEGER) AS s, CAST(EXTRACT(YEAR FROM o_orderdate) AS INTEGER) AS ey FROM orders")
 add("ts_constructors", "SELECT o_orderkey FROM orders WHERE o_orderdate >= timestamp('1996-01-01 00:00:00') AND CAST(o_orderdate AS DATE) < date('1996-02-01')", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND CAST(o_orderdate AS DATE) < DATE '1996-02-01'")
 add("month_partition_function", "SELECT month(o_orderdate) AS bucket, count(*) AS n FROM orders GROUP BY month(o_orderdate)", "SELECT CAST(month(o_orderdate) AS INTEGER) AS bucket, count(*) AS n FROM orders GROUP BY 1")
+
+# Forms that come with the engine underneath
+add("filter_like_escape", "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1!_' ESCAPE '!' OR p_brand LIKE 'Brand#1_' AND p_name NOT LIKE '%!_%' ESCAPE '!'")
+add("filter_any", "SELECT p_partkey FROM part WHERE p_retailprice > ANY (SELECT p_retailprice FROM part WHERE p_size = 1) AND p_size = SOME (SELECT n_nationkey FROM nation)")
+add("filter_all", "SELECT s_suppkey FROM supplier WHERE s_acctbal >= ALL (SELECT s_acctbal FROM supplier WHERE s_nationkey < 5) AND s_nationkey <> ALL (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
+add("filter_all_of_nothing", "SELECT n_nationkey FROM nation WHERE n_nationkey < ALL (SELECT s_nationkey FROM supplier WHERE s_acctbal < -1000000)")
+add("join_full_outer", "SELECT c_custkey, s_suppkey FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey")
+add("join_cross_keyword", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+add("join_using", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a JOIN (SELECT r_regionkey AS k, r_name FROM region) b USING (k)")
+add("join_natural", "SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) b")
+add("join_sort_merge", "SELECT /*+ MERGE(orders) */ c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey")
+add("join_left_outer_hash", "SELECT /*+ SHUFFLE_HASH(orders) */ c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice < 0")
+add("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS s, avg(DISTINCT l_linenumber) AS a FROM lineitem GROUP BY l_returnflag")
+add("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS INTEGER) AS g FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())")
+add("agg_rollup", "SELECT n_regionkey, n_nationkey, count(*) AS n FROM nation GROUP BY ROLLUP (n_regionkey, n_nationkey)")
+add("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+add("agg_deviation", "SELECT o_orderstatus, round(stddev_samp(o_totalprice), 2) AS sd, round(var_pop(o_totalprice) / 1000000, 2) AS v FROM orders GROUP BY o_orderstatus")
+add("agg_percentile", "SELECT o_orderstatus, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 4) AS med, percentile_disc(0.9) WITHIN GROUP (ORDER BY o_totalprice) AS p90 FROM orders GROUP BY o_orderstatus")
+add("agg_group_concat", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+add("window_rank", "SELECT s_suppkey, CAST(rank() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000)) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000)) AS BIGINT) AS d FROM supplier")
+add("window_lag_lead", "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS later FROM orders")
+add("window_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM orders")
+add("fetch_offset", "SELECT n_name FROM nation ORDER BY n_name OFFSET 5 ROWS FETCH NEXT 4 ROWS ONLY", "SELECT n_name FROM nation ORDER BY n_name LIMIT 4 OFFSET 5")
+add("intersect_all_rows", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+add("except_all_rows", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+add("str_trim", "SELECT n_nationkey, TRIM('  ' || n_name || ' ') AS t, LTRIM('  ' || n_name) AS l, RTRIM(n_name || '  ') AS r, REPLACE(n_name, 'A', 'aa') AS p FROM nation")
+add("scalar_functions", "SELECT s_suppkey, COALESCE(NULLIF(s_nationkey, 3), -1) AS c, ABS(s_acctbal) AS a, MOD(s_suppkey, 7) AS m, round(SQRT(s_suppkey), 6) AS q, CAST(FLOOR(s_acctbal) AS BIGINT) AS f, CAST(CEIL(s_acctbal) AS BIGINT) AS e, round(SIN(s_suppkey) + COS(s_suppkey), 6) AS t FROM supplier")
+add("ts_diff", "SELECT o_orderkey, CAST({fn timestampdiff(SQL_TSI_DAY, timestamp('1990-01-01 00:00:00'), o_orderdate)} AS BIGINT) AS d FROM orders", "SELECT o_orderkey, CAST(date_sub('day', TIMESTAMP '1990-01-01', o_orderdate) AS BIGINT) AS d FROM orders")
+add("ts_current", "SELECT count(*) AS n FROM orders WHERE o_orderdate < CURRENT_TIMESTAMP AND CAST(o_orderdate AS DATE) <= CURRENT_DATE")
+add("session_values", "SELECT n_nationkey, USER IS NOT NULL AS has_user, CURRENT SCHEMA IS NOT NULL AS has_schema, DSID() IS NOT NULL AS has_member FROM nation", "SELECT n_nationkey, TRUE AS has_user, TRUE AS has_schema, TRUE AS has_member FROM nation")
+add("bit_concat", "SELECT n_nationkey, hex(X'01' || X'FF0A') AS h FROM nation")
+add("cast_assignment", "SELECT CAST(a AS INTEGER) AS i, CAST(a AS DECIMAL(5,3)) AS d FROM (VALUES (CAST(3.1416 AS DOUBLE)), (CAST(5.2413 AS DOUBLE)), (CAST(2.1 AS DOUBLE))) AS t(a)")
+add("xml_xpath", "SELECT n_nationkey, xpath_string('<n><name>' || n_name || '</name><r>' || n_regionkey || '</r></n>', 'n/name') AS name, xpath_int('<n><r>' || n_regionkey || '</r></n>', 'n/r') AS r FROM nation", "SELECT n_nationkey, n_name AS name, n_regionkey AS r FROM nation")

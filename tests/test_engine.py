@@ -16,7 +16,7 @@ def test_dialect_leaves_literals_alone():
     got = to_spark("SELECT 'FETCH FIRST 3 ROWS ONLY', \"USER\", USER, {fn timestampadd(SQL_TSI_DAY, 1, timestamp('2020-01-01 00:00:00'))} FROM t -- DSID()\nFETCH FIRST 3 ROWS ONLY;")
     assert "'FETCH FIRST 3 ROWS ONLY'" in got and '"USER", current_user()' in got and "timestampadd(DAY, 1, TIMESTAMP_NTZ '2020-01-01 00:00:00')" in got
     assert "-- DSID()" in got and got.endswith("LIMIT 3")
-    assert to_spark("SELECT INTDIV(a, 2), {fn LCASE({fn UCASE(x)})} FROM t OFFSET 5 ROWS FETCH NEXT ROW ONLY") == "SELECT (a div  2), LCASE(UCASE(x)) FROM t OFFSET 5 LIMIT 1"
+    assert to_spark("SELECT INTDIV(a, 2), {fn LCASE({fn UCASE(x)})} FROM t OFFSET 5 ROWS FETCH NEXT ROW ONLY") == "SELECT (a div  2), LCASE(UCASE(x)) FROM t LIMIT 1 OFFSET 5"
     assert to_spark("VALUES DATE('2020-01-02'), {d '2020-01-03'}") == "VALUES DATE '2020-01-02', DATE '2020-01-03'"
 
 
