@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.sources.shared import shared_dir
@@ -54,5 +57,20 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def emptied(batches: Iterator[pa.RecordBatch], *caches: Callable[[], None]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, after which its worker drops what it kept and gives the memory back: workers live on, and
+    what one stage remembers must not add to what the next one needs."""
+    try:
+        yield from batches
+    finally:
+        for clear in caches:
+            clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import materialize, shuffle_partitions
+from tessera.llm.common import emptied, materialize, shuffle_partitions
 from tessera.llm.components import connected_components
 
 UNIT, UNIT_BYTES, HUBS = 1024, 1 << 26, 16
@@ -70,7 +70,7 @@ class Classes:
         self.root[self.find(i)] = self.find(j)
 
 
-def _compared(rows: DataFrame, keys: list[str], links: Links) -> DataFrame:
+def _compared(rows: DataFrame, keys: list[str], links: Links, *forget: Callable[[], None]) -> DataFrame:
     kind = rows.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,13 +82,14 @@ def _compared(rows: DataFrame, keys: list[str], links: Links) -> DataFrame:
 
     others = [c for c in rows.columns if c not in (*keys, "part", "rest", "weight")]
     dealt = rows.select(*keys, *others).repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return dealt.mapInArrow(lambda batches: emptied(run(batches), *forget), f"a {kind}, b {kind}")
 
 
-def linked(rows: DataFrame, links: Links, unit: int | None = None) -> DataFrame:
+def linked(rows: DataFrame, links: Links, unit: int | None = None, forget: Callable[[], None] = lambda: None) -> DataFrame:
     """Pairs (a, b) whose components are those of all pairs within a group that ``links`` would find.
 
-    rows: group (long), node, weight, and what ``links`` reads; ``rows`` should be cheap to read again."""
+    rows: group (long), node, weight, and what ``links`` reads; ``rows`` should be cheap to read again. ``forget``
+    empties what ``links`` remembers, at the end of a task."""
     unit = unit or UNIT
     kind = rows.schema["node"].dataType
     rows = rows.withColumn("class", F.lit(None).cast(kind))
@@ -96,13 +97,13 @@ def linked(rows: DataFrame, links: Links, unit: int | None = None) -> DataFrame:
     big = rows.groupBy("group").agg(units.alias("__parts"), F.count("*").alias("__n")).where("__parts > 1 AND __n > 2")
     big = materialize(big.select("group", "__parts"), "large-groups")
     if big.isEmpty():
-        return _compared(rows, ["group"], links)
-    small = _compared(rows.join(big, "group", "left_anti"), ["group"], links)
+        return _compared(rows, ["group"], links, forget)
+    small = _compared(rows.join(big, "group", "left_anti"), ["group"], links, forget)
     large = materialize(rows.join(big, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("__parts")).cast("int")), "large-group-rows")
     nth = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("node", F.lit(1))))
     hubs = large.withColumn("__nth", nth).where(F.col("__nth") <= HUBS).drop("__nth")
     visiting = lambda df: df.withColumn("__to", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).where("__to <> part").drop("part").withColumnRenamed("__to", "part")
-    first = materialize(_compared(large.unionByName(visiting(hubs)).drop("__parts"), ["group", "part"], links), "links")
+    first = materialize(_compared(large.unionByName(visiting(hubs)).drop("__parts"), ["group", "part"], links, forget), "links")
     # What hangs together already, and who is outside the largest class of a group.
     classes = connected_components(first).withColumnRenamed("component", "__class")
     large = large.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("__class", "node")).drop("__class")
@@ -116,4 +117,4 @@ def linked(rows: DataFrame, links: Links, unit: int | None = None) -> DataFrame:
     rest = rest.join(shares, "group").withColumn("rest", F.pmod(F.xxhash64("node", F.lit(2)), F.col("__rests")).cast("int"))
     members = large.join(shares, "group").withColumn("rest", F.explode(F.sequence(F.lit(0), F.col("__rests") - 1)))
     both = members.unionByName(visiting(rest)).drop("__parts", "__rests")
-    return small.unionByName(first).unionByName(_compared(both, ["group", "part", "rest"], links))
+    return small.unionByName(first).unionByName(_compared(both, ["group", "part", "rest"], links, forget))

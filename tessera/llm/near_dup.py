@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import groups
-from tessera.llm.common import WS, discard, materialize, shuffle_partitions
+from tessera.llm.common import WS, discard, emptied, materialize, shuffle_partitions
 from tessera.llm.components import connected_components
-from tessera.llm.shingles import mix, shingle_set
+from tessera.llm.shingles import forget, mix, shingle_set
 
 SYMBOLS, ERRORS, CHUNKS = 64, 27, 14
 """At a similarity of 0.85, 64 symbols differ in 9.6 on average (deviation 2.9): more than 27 has a chance of 3.5e-8."""
@@ -70,7 +70,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "tid", "n_shingles", "skey", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tid"), "text").mapInArrow(run, "doc_id long, tid long, n_shingles long, skey binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tid"), "text").mapInArrow(lambda batches: emptied(run(batches), forget), "doc_id long, tid long, n_shingles long, skey binary, sig binary")
 
 
 def index_keys(sig: np.ndarray, errors: int, chunks: int) -> np.ndarray:
@@ -255,7 +255,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, percent:
         return [(own[i], own[j]) for i, j in links(sets, percent, known)] if len(sets) > 1 else []
 
     rows = texts.select("group", "node", F.octet_length("text").alias("weight"), "skey", "text")
-    return groups.linked(materialize(rows, "candidate-texts"), of_unit)
+    return groups.linked(materialize(rows, "candidate-texts"), of_unit, forget=forget)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

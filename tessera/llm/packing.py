@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import materialize
+from tessera.llm.common import emptied, materialize
 
 CAPACITY = 2048
 MARK = "\x01"
@@ -53,6 +53,9 @@ class Encoder:
         self.cache: dict[str, bytes] = {"": b""}
         (self.mark,) = self.lib.encode(MARK, add_special_tokens=False).ids
 
+    def forget(self) -> None:
+        self.cache = {"": b""}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         # A-Z are lower-cased by the tokenizer anyway; texts that may hold a special token are left as they are.
         texts = [t if "<|" in t else t.encode().lower().decode() for t in texts]
@@ -62,7 +65,7 @@ class Encoder:
             missing.update(filterfalse(self.cache.__contains__, u))
         if missing:
             if len(self.cache) + len(missing) > CACHE_UNITS:
-                self.cache = {"": b""}
+                self.forget()
                 missing = set().union(*units) - {""}
             self._learn(missing)
         get = self.cache.__getitem__
@@ -137,7 +140,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             if keys:
                 yield rows(keys, texts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return emptied(run(batches), encoder(tokenizer).forget)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:

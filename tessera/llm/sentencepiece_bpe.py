@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import emptied
+
 SPACE = "▁"
 SHORT, NONE = 48, float("-inf")
 CHUNK_CHARS = 1_000_000
@@ -110,15 +112,18 @@ class Codec:
             if (back := self.decode_bytes(ours)) != u.encode():
                 self.differ[u] = back
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.differ.clear()
+        self.mismatches.clear()
+
     def parts(self, texts: list[str]) -> list[list[str]]:
         """The units of each text, all in the cache afterwards."""
         out = [self.units(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         known = self.cache.keys()
         if missing := set().union(*out) - known:
             if len(known) + len(missing) > CACHE_UNITS:
-                self.cache.clear()
-                self.differ.clear()
-                self.mismatches.clear()
+                self.forget()
                 missing = set().union(*out)
             self.learn(list(missing))
         return out
@@ -190,4 +195,4 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
                     m.append(sum(u in c.mismatches for u in units) if c.mismatches else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(m, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "mismatches"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, mismatches long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: emptied(run(batches), codec(model).forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, mismatches long")

@@ -11,6 +11,10 @@ _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, 16, dtype=np.uint6
 _words: dict[bytes, int] = {}
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

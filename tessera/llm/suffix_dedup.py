@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import GRAM, anchor_positions, anchors_of, neighbours
-from tessera.llm.common import discard, materialize, shuffle_partitions
+from tessera.llm.common import discard, emptied, materialize, shuffle_partitions
 from tessera.llm.groups import runs
 
 SPAN = 200
@@ -39,8 +39,6 @@ REACH = SPAN - GRAM
 HALF = REACH // 2
 UNIT = 8192
 """Contexts of a group that one task takes."""
-HOT = 10_000
-"""Rows of an anchor that are not shuffled by it; at most one key for as many rows is looked up for that."""
 WINDOWS = 60_000
 """Windows sorted at a time."""
 CHUNK = 1 << 18
@@ -193,7 +191,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                     ["akey", "ckey", "halves", "tid", "spot"],
                 )
 
-    return docs.select("tid", "text").mapInArrow(run, "akey long, ckey long, halves long, tid long, spot long")
+    return docs.select("tid", "text").mapInArrow(lambda batches: emptied(run(batches)), "akey long, ckey long, halves long, tid long, spot long")
 
 
 def _long(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +281,7 @@ def _array_spans(units: DataFrame) -> DataFrame:
             yield _spans(held)
 
     dealt = units.select("gkey", "ctx", "rel", "near", "far", "tid", "place", "cn").repartition(shuffle_partitions(spark), "gkey").sortWithinPartitions("gkey")
-    return dealt.mapInArrow(run, "tid long, start int, stop int")
+    return dealt.mapInArrow(lambda batches: emptied(run(batches)), "tid long, start int, stop int")
 
 
 def _spans(tables: list[pa.Table]) -> pa.RecordBatch:
@@ -315,12 +313,9 @@ def _spans(tables: list[pa.Table]) -> pa.RecordBatch:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """tid and spans (array of start, stop; not merged) of the texts that have any. docs: tid, doc_id, text."""
     every = materialize(anchor_rows(docs), "anchors")
-    twice = materialize(every.groupBy("akey").agg(F.count("*").alias("__n")).where("__n > 1"), "repeated-anchors")
-    # A hot anchor's rows stay where they are: of those keys there are few, and the join is for the others.
-    hot, others = (twice.where(F.col("__n") > HOT).select("akey"), twice.where(F.col("__n") <= HOT).select("akey"))
-    hot = materialize(hot, "hot-anchors")
-    met = every.join(others, "akey") if hot.isEmpty() else every.join(hot, "akey", "left_anti").join(others, "akey").unionByName(every.join(hot, "akey", "left_semi"))
-    met = materialize(met, "met-anchors")
+    twice = materialize(every.groupBy("akey").agg(F.count("*").alias("__n")).where("__n > 1").select("akey"), "repeated-anchors")
+    # Both sides come from files and the result goes to one, so the adaptive skew join can split a hot anchor's rows.
+    met = materialize(every.join(twice.hint("merge"), "akey"), "met-anchors")
     discard(every, twice)
     kinds = met.groupBy("akey", "ckey", "halves").agg(F.count("*").alias("cn"), F.min(F.struct("tid", "spot")).alias("at"))
     kinds = materialize(kinds, "contexts")

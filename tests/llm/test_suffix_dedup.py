@@ -63,11 +63,6 @@ def test_large_groups_are_halved_without_loss(spark, monkeypatch):
     check(spark, corpus(random.Random(8)))
 
 
-def test_hot_anchors_stay_where_they_are(spark, monkeypatch):
-    monkeypatch.setattr(d, "HOT", 3)
-    check(spark, corpus(random.Random(10)))
-
-
 def test_large_groups_go_by_slices(spark, monkeypatch):
     monkeypatch.setattr(d, "WINDOWS", 300)
     check(spark, corpus(random.Random(9)))
