@@ -15,7 +15,7 @@ def char_equal(a: Column, b: Column) -> Column:
 
 
 def ci_equal(a: Column, b: Column | str) -> Column:
-    """Equality under a case-insensitive index; stays a string comparison that collation-aware code can push."""
+    """Equality under a case-insensitive index; a comparison of collation keys, which no Parquet filter takes."""
     return F.collate(a, "UTF8_LCASE") == F.collate(b if isinstance(b, Column) else F.lit(b), "UTF8_LCASE")
 
 
@@ -52,3 +52,31 @@ def set_of(*elements: Column) -> Column:
     for e in elements[1:]:
         none = none | e.isNull()
     return F.when(~none, whole)
+
+
+def upper(c: Column, language: str = "") -> Column:
+    """UPPER under a language's rules: of Turkish and Azeri, i becomes a dotted capital."""
+    return F.upper(F.translate(c, "i", "\u0130") if language in ("tr", "az") else c)
+
+
+def lower(c: Column, language: str = "") -> Column:
+    return F.lower(F.translate(c, "I\u0130", "\u0131i") if language in ("tr", "az") else c)
+
+
+def width(c: Column, most: int, error: bool = False) -> Column:
+    """A string brought to CHAR or VARCHAR width: blanks at the end may go, other characters are cut off or refused."""
+    fits = F.length(F.rtrim(c)) <= most
+    cut = F.substring(c, 1, most)
+    return F.when(fits | c.isNull(), cut).otherwise(F.raise_error(F.lit(f"a value is longer than {most} characters")).cast("string")) if error else cut
+
+
+def qualifier(c: Column, op: str, value: Column, negate: bool = False, ordered_nulls: bool = False, unknown: bool = False) -> Column:
+    """A storage qualifier: a comparison that may be negated. With ``ordered_nulls`` null equals null and is above all
+    values; otherwise a comparison with null gives ``unknown`` (before negation)."""
+    plain = {"<": c < value, "<=": c <= value, "=": c == value, ">": c > value, ">=": c >= value}[op]
+    if ordered_nulls:
+        both, left, right = c.isNull() & value.isNull(), c.isNull(), value.isNull()
+        out = F.when(both, F.lit("=" in op)).when(left, F.lit(op[0] == ">")).when(right, F.lit(op[0] == "<")).otherwise(plain)
+    else:
+        out = F.coalesce(plain, F.lit(unknown))
+    return ~out if negate else out

@@ -1,7 +1,8 @@
 """JSON paths: root, properties (one or several), array indexes, wildcards and filters, over JSON text.
 
 A path compiles to Column expressions on a VARIANT. Definite paths give one value, others an array. ``missing``
-chooses between null and an error for absent properties; ``as_list`` wraps a definite result.
+chooses between null (which also suppresses text that is not JSON) and an error for absent properties; ``as_list``
+wraps a definite result, ``paths`` gives the places instead of the values, ``merged`` several properties as one object.
 """
 
 from __future__ import annotations
@@ -116,6 +117,43 @@ def evaluate(json: Column, path: str, kind: str = "string", missing: str = "null
     return F.array(out) if as_list and not many else out
 
 
+def merged(json: Column, path: str) -> Column:
+    """A path that ends in several properties, as one object (JSON text) of those present instead of a list."""
+    steps = parse(path)
+    if not is_definite(steps[:-1]) or steps[-1].kind != "property":
+        raise ValueError(f"{path} does not end in properties of one object")
+    v = F.try_parse_json(json)
+    for s in steps[:-1]:
+        v = _step(s, v)
+    entries = F.array(*(F.struct(F.lit(k).alias("key"), _get(v, f"$['{k}']", "variant").alias("value")) for k in steps[-1].value))
+    return F.to_json(F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
+
+
+def paths(json: Column, path: str) -> Column:
+    """The normalized paths of all values at ``path`` (as-path-list), in order; none for text that is not JSON."""
+    at = F.struct(F.lit("$").alias("p"), F.try_parse_json(json).alias("v"))
+    found = F.array(at)
+    for s in parse(path):
+        found = F.flatten(F.transform(found, _unary(partial(_spread, s))))
+    return F.coalesce(F.transform(F.filter(found, lambda x: x["v"].isNotNull()), lambda x: x["p"]), F.array().cast("array<string>"))
+
+
+def _spread(s: Step, x: Column) -> Column:
+    """The (path, value) pairs that a step makes of one."""
+    p, v = x["p"], x["v"]
+    of_items = lambda: F.transform(_get(v, "$", "array<variant>"), lambda e, i: F.struct(F.concat(p, F.lit("["), i.cast("string"), F.lit("]")).alias("p"), e.alias("v")))
+    none = F.array().cast("array<struct<p:string,v:variant>>")
+    if s.kind == "property":
+        return F.array(*(F.struct(F.concat(p, F.lit(f"['{k}']")).alias("p"), _get(v, f"$['{k}']", "variant").alias("v")) for k in s.value))
+    if s.kind == "index":
+        at = F.lit(s.value) if s.value >= 0 else F.size(_get(v, "$", "array<variant>")) + s.value
+        return F.array(F.struct(F.concat(p, F.lit("["), at.cast("string"), F.lit("]")).alias("p"), _step(s, v).alias("v")))
+    if s.kind == "wildcard":
+        members = F.transform(F.map_entries(_get(v, "$", "map<string, variant>")), lambda e: F.struct(F.concat(p, F.lit("['"), e["key"], F.lit("']")).alias("p"), e["value"].alias("v")))
+        return F.coalesce(of_items(), members, none)
+    return F.coalesce(F.filter(of_items(), lambda e: _accepts(e["v"], s.value)), none)
+
+
 def keys(json: Column) -> Column:
     return F.json_object_keys(json)
 

@@ -74,6 +74,47 @@ def identity(rows: DataFrame, name: str, order: list[str | Column], start: int =
     return numbered.join(F.broadcast(shift), "__p").select(*rows.columns, (F.col("__r") + F.col("__shift") + (start - 1)).cast("long").alias(name))
 
 
+def insert_identity(target: DataFrame, rows: DataFrame, name: str, order: list[str | Column]) -> tuple[DataFrame, DataFrame]:
+    """INSERT into a table with an identity column: (the table afterwards, IDENTITY_VAL_LOCAL() as a table of one row:
+    the last value given, or null). Numbers go on after the largest there."""
+    top = target.agg(F.coalesce(F.max(name), F.lit(0)).cast("long").alias("__top"))
+    numbered = identity(rows, name, order).crossJoin(F.broadcast(top)).withColumn(name, F.col(name) + F.col("__top")).drop("__top")
+    return insert(target, numbered), numbered.agg(F.max(name).alias("identity_val_local"))
+
+
+def running_sum(rows: DataFrame, value: Column, order: list[Column], name: str) -> DataFrame:
+    """rows with the sum of ``value`` up to each row in the order given, without one task: sums run within ranges and
+    are shifted by the ranges before (as many rows as partitions)."""
+    from pyspark.sql.window import Window
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.withColumn("__v", value).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = placed.groupBy("__p").agg(F.sum("__v").alias("__s")).select("__p", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__shift"))
+    own = F.sum("__v").over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn("__own", own).join(F.broadcast(shift), "__p").select(*rows.columns, (F.col("__own") + F.col("__shift")).alias(name))
+
+
+def positioned(rows: DataFrame, each: Callable[[object], object], schema: str | None = None) -> DataFrame:
+    """An updatable cursor over all rows: ``each`` gets a batch (pandas) and gives the rows as updateRow leaves them;
+    those it leaves out are deleteRow's. Cursors run where the rows are, none on the driver."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            yield each(b)
+
+    return rows.mapInPandas(run, schema or rows.schema)
+
+
+def deferred(rows: DataFrame) -> DataFrame:
+    """The rows of a statement that reads the table it changes, held apart (on disk) before the change."""
+    from tessera.sources.shared import new_path
+
+    path = new_path(rows.sparkSession, "deferred")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Constraints:
     """Checked over a whole table; ``violations`` gives a row (constraint, n) for each that is broken."""
@@ -112,7 +153,10 @@ class Constraints:
 
 
 def delete_parents(parents: DataFrame, children: DataFrame, where: Column, parent_key: str, child_key: str, action: str = "restrict", default: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """DELETE on a referenced table with its referential action: (parents, children) afterwards."""
+    """DELETE on a referenced table with its referential action: (parents, children) afterwards. Restrict and no action
+    differ only in when they look; as statements are whole here, both refuse when children are left."""
+    if action not in ("cascade", "set null", "set default", "restrict", "no action"):
+        raise ValueError(f"no referential action {action}")
     gone = parents.where(F.coalesce(where, F.lit(False))).select(F.col(parent_key).alias(child_key))
     left = delete(parents, where)
     if action == "cascade":
@@ -136,6 +180,13 @@ def changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     return both.where((F.col("op") != "update") | ~F.col("old").eqNullSafe(F.col("new"))).select(*key, "op", "old", "new")
 
 
+def before(rows: DataFrame, triggers: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """BEFORE row triggers: each maps the rows that are about to be written (NEW), in turn; ``veto`` is one that refuses."""
+    for t in triggers:
+        rows = t(rows)
+    return rows
+
+
 @dataclass(frozen=True)
 class Trigger:
     """A row trigger (``each_row``) maps the log's rows; a statement trigger gets the log whole, once."""

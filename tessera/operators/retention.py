@@ -23,3 +23,16 @@ def evict(rows: DataFrame, criteria: Column) -> tuple[DataFrame, DataFrame]:
 def keep_recent(rows: DataFrame, count: int, used: str, key: str) -> DataFrame:
     """LRUCOUNT n with DESTROY: the n most recently used rows stay (ties: larger key). TakeOrdered, no global sort."""
     return rows.orderBy(F.desc_nulls_last(used), F.desc(key)).limit(count)
+
+
+def keep_bytes(rows: DataFrame, most: int | DataFrame, size: Column, used: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """LRUMEMSIZE (or LRUHEAPPERCENT, with a table of one number as the limit): (kept, evicted). The most recently used
+    rows stay as long as their sizes sum up to at most the limit; with OVERFLOW the others are still there to be read."""
+    from tessera.operators.dml import running_sum
+
+    sized = running_sum(rows, size, [F.desc_nulls_last(used), F.desc(key)], "__sum")
+    if isinstance(most, DataFrame):
+        sized, limit = sized.crossJoin(F.broadcast(most.toDF("__limit"))), F.col("__limit")
+    else:
+        limit = F.lit(most)
+    return sized.where(F.col("__sum") <= limit).select(*rows.columns), sized.where(F.col("__sum") > limit).select(*rows.columns)

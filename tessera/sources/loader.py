@@ -28,9 +28,22 @@ class _Part(InputPartition):
         self.start, self.end = start, end
 
 
+#: Columns of the virtual table: type, and how a value is made. A column that is not wanted is never made.
+ROW = {"id": ("int", lambda i: i), "label": ("string", lambda i: f"row {i}"), "parity": ("string", lambda i: "odd" if i % 2 else "even")}
+
+
+def wanted(options: dict) -> list[str]:
+    """The columns of option ``columns`` (comma-separated; the first two, if it is not given)."""
+    names = [c.strip() for c in options.get("columns", "id,label").split(",")]
+    if unknown := [c for c in names if c not in ROW]:
+        raise ValueError(f"no column {unknown[0]}")
+    return names
+
+
 class RowsReader(DataSourceReader):
     def __init__(self, options: dict):
         self.rows, self.parts, self.only = int(options.get("rows", 100)), int(options.get("partitions", 4)), None
+        self.columns = wanted(options)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """An equality on ``id`` is taken over: only its partition is read. Others go back to Spark."""
@@ -48,18 +61,19 @@ class RowsReader(DataSourceReader):
 
     def read(self, part: _Part | None) -> Iterator[tuple]:
         for i in range(part.start, part.end) if part else ():  # without partitions Spark reads one that is None
-            yield i, f"row {i}"
+            yield tuple(ROW[c][1](i) for c in self.columns)
 
 
 class RowsSource(DataSource):
-    """A virtual table (``format("tessera_rows")``) with filter pushdown, as a pattern for external stores."""
+    """A virtual table (``format("tessera_rows")``) as a pattern for external stores: filters are pushed to the reader,
+    the projection goes by the option ``columns``."""
 
     @classmethod
     def name(cls) -> str:
         return "tessera_rows"
 
     def schema(self) -> str:
-        return "id int, label string"
+        return ", ".join(f"{c} {ROW[c][0]}" for c in wanted(self.options))
 
     def reader(self, schema: StructType) -> RowsReader:
         return RowsReader(self.options)
