@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-M = "CAST({} AS DECIMAL(18,2))"
-EXT, DISC, TAX = "CAST(l_extendedprice AS DECIMAL(18,2))", "CAST(l_discount AS DECIMAL(4,2))", "CAST(l_tax AS DECIMAL(4,2))"
-REV = f"CAST(sum({EXT} * (1 - {DISC})) AS DOUBLE)"
+# Money as whole cents and rates as whole hundredths: products stay longs, which need no object a row.
+EXT, DISC, TAX = "CAST(round(l_extendedprice * 100) AS BIGINT)", "CAST(round(l_discount * 100) AS BIGINT)", "CAST(round(l_tax * 100) AS BIGINT)"
+QTY = "CAST(round(l_quantity * 100) AS BIGINT)"
+NET = f"{EXT} * (100 - {DISC})"
+
+
+def total(value: str, unit: int) -> str:
+    """The exact sum of longs, in units of one ``unit``-th, as a double: upper and lower bits are summed apart, so that
+    no number of rows overflows."""
+    return f"CAST(CAST(sum(({value}) >> 20) AS DECIMAL(26,0)) * 1048576 + CAST(sum(({value}) & 1048575) AS DECIMAL(26,0)) AS DOUBLE) / {unit}e0"
+
+
+REV = total(NET, 10_000)
 
 #: name -> (dialect text, DuckDB text or None when the dialect text is plain SQL)
 SQL: dict[str, tuple[str, str | None]] = {}
@@ -14,10 +24,10 @@ def add(name: str, text: str, duck: str | None = None) -> None:
     SQL[name] = (text, duck)
 
 
-_Q1 = f"""SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, CAST(sum({EXT}) AS DOUBLE) AS sum_base_price,
- {REV} AS sum_disc_price, CAST(sum({EXT} * (1 - {DISC}) * (1 + {TAX})) AS DOUBLE) AS sum_charge,
- round(CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS avg_qty, round(CAST(sum({EXT}) AS DOUBLE) / count(*), 4) AS avg_price,
- round(CAST(sum({DISC}) AS DOUBLE) / count(*), 4) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= {{}} GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus"""
+_Q1 = f"""SELECT l_returnflag, l_linestatus, {total(QTY, 100)} AS sum_qty, {total(EXT, 100)} AS sum_base_price,
+ {REV} AS sum_disc_price, {total(f"{NET} * (100 + {TAX})", 1_000_000)} AS sum_charge,
+ round({total(QTY, 100)} / count(*), 4) AS avg_qty, round({total(EXT, 100)} / count(*), 4) AS avg_price,
+ round({total(DISC, 100)} / count(*), 4) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= {{}} GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus"""
 add("q1_pricing_summary", _Q1.format("{fn timestampadd(SQL_TSI_DAY, -90, timestamp('1998-12-01 00:00:00'))}"), _Q1.format("TIMESTAMP '1998-12-01' - INTERVAL 90 DAY"))
 _Q3 = f"""SELECT l_orderkey, {REV} AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey
  AND o_orderdate < {{0}} AND l_shipdate > {{0}} GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey {{1}}"""
@@ -28,10 +38,10 @@ add("q4_exists_shape", _Q4.format("timestamp('1995-01-01 00:00:00')", "{fn times
 _Q5 = f"""SELECT n_name, {REV} AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey
  AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND o_orderdate >= {{0}} AND o_orderdate < {{1}} GROUP BY n_name ORDER BY revenue DESC"""
 add("q5_local_supplier_volume", _Q5.format("timestamp('1994-01-01 00:00:00')", "{fn timestampadd(SQL_TSI_YEAR, 1, timestamp('1994-01-01 00:00:00'))}"), _Q5.format("TIMESTAMP '1994-01-01'", "TIMESTAMP '1995-01-01'"))
-_Q6 = f"""SELECT CAST(sum({EXT} * {DISC}) AS DOUBLE) AS revenue FROM lineitem WHERE l_shipdate >= {{0}} AND l_shipdate < {{1}} AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24"""
+_Q6 = f"""SELECT {total(f"{EXT} * {DISC}", 10_000)} AS revenue FROM lineitem WHERE l_shipdate >= {{0}} AND l_shipdate < {{1}} AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24"""
 add("q6_forecast_revenue", _Q6.format("timestamp('1994-01-01 00:00:00')", "{fn timestampadd(SQL_TSI_YEAR, 1, timestamp('1994-01-01 00:00:00'))}"), _Q6.format("TIMESTAMP '1994-01-01'", "TIMESTAMP '1995-01-01'"))
 add("q12_conditional_counts", "SELECT l_returnflag, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count, CAST(sum(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS low_line_count FROM orders, lineitem WHERE o_orderkey = l_orderkey GROUP BY l_returnflag")
-add("q14_conditional_share", f"SELECT round(100.0 * CAST(sum(CASE WHEN p_type LIKE 'PROMO%' THEN {EXT} * (1 - {DISC}) ELSE 0 END) AS DOUBLE) / {REV}, 4) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey")
+add("q14_conditional_share", f"SELECT round(100.0 * {total(f"CASE WHEN p_type LIKE 'PROMO%' THEN {NET} ELSE 0 END", 10_000)} / ({REV}), 4) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey")
 
 # Sources and projection
 add("scan_table", "SELECT * FROM nation")
