@@ -200,25 +200,37 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read(spark: SparkSession, index: DataFrame, out_dir: str) -> DataFrame:
-    """Every record of the bundles that the index names, payloads checked against their digests."""
+    """Every record that the index names, from its frame and the offset there; payloads are checked against their
+    digests, ids and lengths against the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(out_dir)
-        for b in batches:
-            for name in b.column(0).to_pylist():
-                with fs.open_input_file(f"{root}/{name}") as file:
-                    bundle = BundleReader(file)
-                    for k in range(len(bundle.places)):
-                        data, at, rows = bundle.frame(k), 0, []
-                        while at < len(data):
-                            head, block, at = parse(data, at)
-                            rows.append(_rows(head, block))
-                        yield _batch(rows)
-
-    bundles = index.select("bundle").distinct()
-    # Names are tiny, bundles are not: a task for each, which the adaptive planner must not join into one.
-    bundles = bundles.repartition(min(10_000, max(1, bundles.count())))
-    return bundles.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        file = bundle = name = frame = None
+        data = b""
+        try:
+            for b in batches:
+                rows = []
+                for own, rid, k, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if own != name:
+                        if file:
+                            file.close()
+                        name, frame, file = own, None, fs.open_input_file(f"{root}/{own}")
+                        bundle = BundleReader(file)
+                    if k != frame:
+                        frame, data = k, bundle.frame(k)
+                    head, block, end = parse(data, offset)
+                    if end - offset != length or head["warc-record-id"] != f"<{rid}>":
+                        raise ValueError(f"{rid} is not where the index has it")
+                    rows.append(_rows(head, block))
+                yield _batch(rows)
+        finally:
+            if file:
+                file.close()
+
+    # A bundle is read by one task, frame by frame.
+    bundles = max(1, index.select("bundle").distinct().count())
+    places = index.select("bundle", "record_id", "frame", "offset", "length").repartition(min(10_000, bundles), "bundle").sortWithinPartitions("bundle", "frame", "offset")
+    return places.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def lookup(index: DataFrame, wanted: DataFrame, out_dir: str) -> DataFrame:
