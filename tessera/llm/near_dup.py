@@ -260,7 +260,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, percent:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
-    return _marked(docs, percent).drop("tid")
+    return _marked(docs, describe(docs), percent).drop("tid")
 
 
 def keep_one(docs: DataFrame, percent: int, judged_by: DataFrame | None = None) -> DataFrame:
@@ -277,22 +277,32 @@ def keep_one(docs: DataFrame, percent: int, judged_by: DataFrame | None = None)
         number = F.lit(-(1 << 62)) - F.abs(F.xxhash64("__id", "text") % (1 << 61))
         rows = rows.join(odd, F.col("__id").eqNullSafe(F.col("__d")), "left").withColumn("__id", F.when(F.col("__id").isNull() | F.col("__several"), number).otherwise(F.col("__id")))
     own = rows.select(F.col("__id").alias("doc_id"), "text")
-    if judged_by is not None:
+    if judged_by is None:
+        marks = _marked(own, describe(own), percent)
+    else:
+        # Signatures of all texts that may decide are taken where those lie; only they, not the texts, meet the ids.
         theirs = judged_by.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         once = theirs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n = 1").select("doc_id")
-        known = materialize(own.select("doc_id").distinct().join(once, "doc_id", "left_semi"), "known-ids")
-        own = materialize(theirs.join(known, "doc_id", "left_semi").unionByName(own.join(known, "doc_id", "left_anti")), "judged-texts")
-    stay = materialize(_marked(own, percent).where("kept").select(F.col("doc_id").alias("__stay")).distinct(), "staying")
-    kept = rows.join(stay, F.col("__id") == F.col("__stay"), "left_semi")
+        ids = own.select("doc_id").distinct().join(once.withColumn("__known", F.lit(True)), "doc_id", "left")
+        ids = materialize(ids.select("doc_id", F.coalesce("__known", F.lit(False)).alias("__known")), "judged-ids")
+        texts, signatures = theirs, describe(theirs).join(ids.where("__known").hint("merge"), "doc_id", "left_semi")
+        unknown = ids.where("NOT __known").select("doc_id")
+        if not unknown.isEmpty():
+            others = own.join(unknown, "doc_id", "left_semi")
+            texts, signatures = texts.unionByName(others), signatures.unionByName(describe(others))
+        marks = _marked(texts, signatures, percent)
+    stay = materialize(marks.where("kept").select(F.col("doc_id").alias("__stay")).distinct(), "staying")
+    kept = rows.join(stay.hint("merge"), F.col("__id") == F.col("__stay"), "left_semi")  # one plan at every size
     if plain:
         return kept.select("__row.*")
     again = F.col("__several").isNotNull() & F.coalesce(F.col("text").rlike(f"[^{WS}]"), F.lit(False))
     return kept.where(~again).unionByName(kept.where(again).dropDuplicates(["__id"])).select("__row.*")
 
 
-def _marked(docs: DataFrame, percent: int) -> DataFrame:
+def _marked(docs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """doc_id, tid, n_shingles, component_id, kept of each row of signatures; docs has their texts (and maybe others)."""
     _, errors, chunks = parameters(percent)
-    own = materialize(describe(docs), "signatures")
+    own = materialize(signatures, "signatures")
     sets = own.where("skey IS NOT NULL AND doc_id IS NOT NULL").groupBy("skey").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     nodes = materialize(sets, "sets")
     candidates = candidate_groups(nodes, errors, chunks, percent)
