@@ -5,12 +5,14 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.sources.shared import shared_dir
 
+_scopes: list[set[str]] = []
 WS = r"\x20\x09-\x0D"
 """Body of the character class that separates words."""
 
@@ -43,12 +45,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, tag)
+    if _scopes:
+        _scopes[-1].add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, the tables materialized within, but for those handed to what it yields. For work whose
+    result is written before the end."""
+    made: set[str] = set()
+    _scopes.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.discard(df._tessera_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes materialized tables that nothing will read again."""
     for df in tables:

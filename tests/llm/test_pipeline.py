@@ -1,3 +1,4 @@
+import os
 import random
 
 import corpus_pipeline as c
@@ -109,5 +110,11 @@ def test_one_row_stays_of_repeated_and_null_ids(spark, tmp_path):
 
 
 def test_run_packs_what_the_stages_keep(spark, sf):
+    from tessera.llm.common import _folder
+
+    folder = _folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     assert c.run(spark, sf).count() > 0
+    # Only what the lazy result still reads is left: the last stage's documents and the pieces.
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["pieces", "suffix-array-dedup"]
     assert suffix_dedup.SPAN == 200 and [n for n, _ in c.STAGES][0] == "quality rules"
