@@ -87,6 +87,20 @@ def test_oql(regions, oql, want):
     assert regions.query(oql).count() == want
 
 
+def test_joins_by_or_are_joins_by_equality(spark):
+    a = spark.createDataFrame([(1, 10, "x"), (2, 20, "y"), (3, None, "x"), (3, None, "x")], "k int, v int, s string")
+    b = spark.createDataFrame([(1, 10), (2, 1), (None, 20), (10, 3)], "p int, q int")
+    both = Regions(spark, {"/a": Region(a, "k"), "/b": Region(b, "p")})
+    oql = "SELECT x.k AS k, y.p AS p, y.q AS q FROM /a x, /b y WHERE x.k = y.p OR x.v = y.q AND x.s = 'y' OR x.v = y.p"
+    want = a.crossJoin(b).where("k = p OR v = q AND s = 'y' OR v = p").select("k", "p", "q")
+    got = both.query(oql)
+    key = lambda r: str(tuple(r))
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key) and got.count() > 2
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+    assert both.query(oql.replace("SELECT", "SELECT DISTINCT").replace("x.k AS k, ", "")).count() == want.select("p", "q").distinct().count()
+    assert both.query("SELECT x.k AS k FROM /a x, /b y WHERE x.k = y.p OR x.s = 'x'").count() == a.crossJoin(b).where("k = p OR s = 'x'").count()
+
+
 def test_oql_errors(regions):
     for bad in ("SELECT FROM /portfolios", "SELECT * FROM /nowhere", "SELECT zzz FROM /portfolios", "SELECT * FROM /portfolios WHERE", "SELECT p.fly() FROM /portfolios p", "SELECT ID FROM /portfolios WHERE ID = $2"):
         with pytest.raises(OqlError):
