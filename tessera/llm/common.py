@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.sources.shared import shared_dir
 
+ARROW_ROWS = 2000
 _scopes: list[set[str]] = []
 WS = r"\x20\x09-\x0D"
 """Body of the character class that separates words."""
@@ -40,6 +41,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ARROW_ROWS rows for a query planned within; the setting is put back afterwards. Rows
+    hold whole texts, and batches of the usual 10,000 take much memory outside the heap on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ARROW_ROWS if int(before) <= 0 else min(int(before), ARROW_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so later stages don't repeat its work
     and a lost executor costs no recomputation."""
@@ -47,7 +61,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(spark, tag)
     if _scopes:
         _scopes[-1].add(path)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
