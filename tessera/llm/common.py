@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -95,14 +96,33 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+LINGER = 2.0
+"""Seconds that a worker keeps what it remembers after a task."""
+_lock, _caches, _turn = threading.Lock(), set(), 0
+
+
 def emptied(batches: Iterator[pa.RecordBatch], *caches: Callable[[], None]) -> Iterator[pa.RecordBatch]:
-    """The batches of a task, after which its worker drops what it kept and gives the memory back: workers live on, and
-    what one stage remembers must not add to what the next one needs."""
+    """The batches of a task. If no other task follows within LINGER, its worker empties the caches and gives the memory
+    back: workers live on, and what one stage remembers must not add to what the next one needs."""
+    global _turn
+    with _lock:
+        _turn += 1
+        _caches.update(caches)
     try:
         yield from batches
     finally:
-        for clear in caches:
+        timer = threading.Timer(LINGER, _give_back, [_turn])
+        timer.daemon = True
+        timer.start()
+
+
+def _give_back(turn: int) -> None:
+    with _lock:
+        if turn != _turn:  # another task has begun
+            return
+        for clear in _caches:
             clear()
+        _caches.clear()
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
