@@ -18,7 +18,6 @@ import bisect
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +49,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        if resize := getattr(self.lib.model, "_resize_cache", None):
+            resize(0)  # the cache here keeps whole units, so the library's own would only cost
         self.cache: dict[str, bytes] = {"": b""}
         (self.mark,) = self.lib.encode(MARK, add_special_tokens=False).ids
 
@@ -60,16 +61,20 @@ class Encoder:
         # A-Z are lower-cased by the tokenizer anyway; texts that may hold a special token are left as they are.
         texts = [t if "<|" in t else t.encode().lower().decode() for t in texts]
         units = [t.replace("\n", " ").split(" ") for t in texts]
-        missing: set[str] = set()
+        get, found, missing = self.cache.get, [], set()
         for u in units:
-            missing.update(filterfalse(self.cache.__contains__, u))
+            ids = list(map(get, u))
+            holes = [k for k, x in enumerate(ids) if x is None]
+            missing.update([u[k] for k in holes])
+            found.append((ids, holes))
         if missing:
             if len(self.cache) + len(missing) > CACHE_UNITS:
                 self.forget()
-                missing = set().union(*units) - {""}
             self._learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, u)) for u in units]
+            for u, (ids, holes) in zip(units, found, strict=True):
+                for k in holes:
+                    ids[k] = self.cache[u[k]]
+        return [b"".join(ids) for ids, _ in found]
 
     def _learn(self, missing: set[str]) -> None:
         # A comma or stop behind letters is a token of its own, so such a unit is its word and that sign.
