@@ -27,3 +27,24 @@ def test_scratch_keeps_what_it_is_told_to(spark):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark):
+    files = lambda: {f.getName() for f in _each(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(common._CLEANUP)
+    kept = spark.range(1000).repartition(3, "id")
+    assert kept.count() == 1000 and files() - before  # what is not materialized keeps Spark's own way
+    others = files()
+    out = common.materialize(spark.range(1000).repartition(4, "id").groupBy("id").count(), "dealt")
+    for _ in range(50):  # files are removed in the background
+        if not files() - others:
+            break
+        time.sleep(0.1)
+    assert not files() - others and out.count() == 1000
+    assert spark.conf.get(common._CLEANUP) == setting
+
+
+def _each(scala_seq):
+    it = scala_seq.iterator()
+    while it.hasNext():
+        yield it.next()
