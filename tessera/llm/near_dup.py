@@ -20,6 +20,7 @@ rows all, whatever their ids.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ from tessera.llm.shingles import forget, mix, shingle_set
 
 SYMBOLS, ERRORS, CHUNKS = 64, 27, 14
 """At a similarity of 0.85, 64 symbols differ in 9.6 on average (deviation 2.9): more than 27 has a chance of 3.5e-8."""
+ROUND_KEYS = 8
+"""Repeated keys a node that are dealt out in a round."""
 _FACTORS = np.random.default_rng(64).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -152,7 +155,7 @@ def candidate_groups(nodes: DataFrame, errors: int, chunks: int, percent: int) -
     met = materialize(_repeated(_keys(nodes, errors, chunks)), "keys")
     hot = materialize(met.groupBy("key").agg(F.count("*").alias("__n")).where(F.col("__n") > groups.UNIT).select("key"), "hot-keys")
     signed = lambda df: df.join(nodes.select("node", "sig", "n"), "node")
-    rows = signed(met if hot.isEmpty() else met.join(hot, "key", "left_anti"))
+    rows = met if hot.isEmpty() else met.join(hot, "key", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -187,8 +190,18 @@ def candidate_groups(nodes: DataFrame, errors: int, chunks: int, percent: int) -
             seen = new if len(seen) > 500_000 else seen | new
             carry = carry.slice(whole)
 
-    dealt = rows.select("key", "node", "sig", "n").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    edges = dealt.mapInArrow(run, "a long, b long")
+    def alike_of(some: DataFrame) -> DataFrame:
+        dealt = signed(some).select("key", "node", "sig", "n").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+        return dealt.mapInArrow(run, "a long, b long")
+
+    # A signature goes along with each of its keys; where most keys repeat, a round takes some of the keys and its shuffle
+    # files go before the next one.
+    rounds = -(-met.count() // (ROUND_KEYS * max(nodes.count(), 1)))
+    if rounds < 2:
+        edges = alike_of(rows)
+    else:
+        parts = [materialize(alike_of(rows.where(F.pmod("key", F.lit(rounds)) == r)), "alike") for r in range(rounds)]
+        edges = functools.reduce(DataFrame.unionByName, parts)
     if not hot.isEmpty():
 
         def of_unit(t: pa.Table) -> list[tuple]:
@@ -203,35 +216,70 @@ def candidate_groups(nodes: DataFrame, errors: int, chunks: int, percent: int) -
     return out
 
 
-def links(sets: list[np.ndarray], percent: int, known: list | None = None) -> list[tuple[int, int]]:
-    """Pairs that join the components in which 100 * intersection >= percent * union, by an inverted index over the
-    shingles that a partner must share (the rarest n - ceil(percent * n / 100) + 1 of a set). Sets of one known class
-    are not compared."""
-    n = len(sets)
-    classes, found = groups.Classes(known or [None] * n), []
+def _partners(n: np.ndarray, shared: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n can reach ``percent`` with a set of any of the (sorted) sizes, if only ``shared`` of their
+    elements are elsewhere. The similarity rises with the partner's size up to ``shared`` and falls from there."""
+    out = np.zeros(len(n), bool)
+    for at in (np.searchsorted(sizes, shared, "right") - 1, np.searchsorted(sizes, shared)):
+        m = sizes[np.clip(at, 0, len(sizes) - 1)]
+        both = np.minimum(shared, m)
+        out |= (at >= 0) & (at < len(sizes)) & (100 * both >= percent * (n + m - both))
+    return out
+
+
+def links(sets: list[np.ndarray], percent: int, known: list | None = None, asked: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Pairs that join the components in which 100 * intersection >= percent * union. Sets of one known class are not
+    compared, nor are two of which none is ``asked`` (all are, if it is None).
+
+    Sets that share too little with all others go first. The rest meet by an inverted index over the shingles that a
+    partner must share (the rarest n - ceil(percent * n / 100) + 1 of a set)."""
+    n, first = len(sets), {}
+    label = np.array([i if c is None else first.setdefault(c, i) for i, c in enumerate(known or [None] * n)])
+    asks = np.ones(n, bool) if asked is None else np.array(asked, bool)
     sizes = np.array([len(s) for s in sets])
-    unique, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    unique, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, live = np.repeat(np.arange(n), sizes), np.ones(n, bool)
+    while True:
+        df = np.bincount(ids, minlength=len(unique))
+        useful = np.where(asks[owner], df[ids] > 1, np.bincount(ids[asks[owner]], minlength=len(unique))[ids] > 0)
+        shared = np.bincount(owner[useful], minlength=n)
+        still = live & _partners(sizes, shared, np.sort(sizes[live]), percent)
+        few = 16 * (live.sum() - still.sum()) <= live.sum()  # not worth another look
+        live, keep = still, still[owner]
+        ids, owner = ids[keep], owner[keep]
+        if few or not live.any():
+            break
+    found: list[tuple[int, int]] = []
     rank = np.empty(len(unique), np.int64)
-    rank[np.argsort(df, kind="stable")] = np.arange(len(unique))
-    ids = np.split(rank[inverse], np.cumsum(sizes)[:-1])
-    postings: dict[int, list[int]] = {}
-    for i in np.argsort(sizes, kind="stable").tolist():
-        mine = np.sort(ids[i])
-        prefix = mine[: len(mine) - (-(-percent * len(mine) // 100)) + 1].tolist()
-        tried: set[int] = set()
-        for t in prefix:
-            for j in postings.get(t, ()):
-                if j in tried:
-                    continue
-                tried.add(j)
-                if 100 * sizes[j] < percent * sizes[i] or classes.find(i) == classes.find(j):
-                    continue
-                both = len(np.intersect1d(ids[i], ids[j], assume_unique=True))
-                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                    classes.join(i, j)
+    rank[np.argsort(np.bincount(ids, minlength=len(unique)), kind="stable")] = np.arange(len(unique))
+    ids = rank[ids]
+    ids = ids[np.lexsort((ids, owner))]
+    ends = np.cumsum(np.where(live, sizes, 0))
+    starts = ends - np.where(live, sizes, 0)
+    rare = np.arange(len(ids)) - starts[owner] < (sizes - -(-percent * sizes // 100) + 1)[owner]
+    post = owner[rare][np.argsort(ids[rare], kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(ids[rare], minlength=len(unique)))])
+    own, met = np.zeros(len(unique), bool), np.zeros(n, bool)
+    for i in np.nonzero(live & asks)[0].tolist():
+        mine = ids[starts[i] : ends[i]]
+        places = mine[rare[starts[i] : ends[i]]]
+        met[:] = False
+        for k, m in zip(at[places].tolist(), at[places + 1].tolist(), strict=True):
+            if m - k > 1:
+                met[post[k:m]] = True
+        met &= (label != label[i]) & ~(asks & (np.arange(n) < i))
+        met &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
+        others = np.nonzero(met)[0]
+        own[mine] = True
+        for some in np.split(others, range(256, len(others), 256)):
+            if not len(some):
+                continue
+            both = np.add.reduceat(own[np.concatenate([ids[starts[j] : ends[j]] for j in some.tolist()])], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            for j in some[100 * both >= percent * (sizes[i] + sizes[some] - both)].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
                     found.append((i, j))
-        for t in prefix:
-            postings.setdefault(t, []).append(i)
+        own[mine] = False
     return found
 
 
@@ -241,21 +289,23 @@ def confirmed(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, percent:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(grouped, "node")
 
     def of_unit(t: pa.Table) -> list[tuple]:
-        sets, own, known, seen = [], [], [], set()
-        for node, skey, text, class_ in zip(t["node"].to_pylist(), t["skey"].to_pylist(), t["text"], t["class"].to_pylist(), strict=True):
+        sets, own, known, asked, seen = [], [], [], [], {}
+        for node, skey, text, class_, asks in zip(t["node"].to_pylist(), t["skey"].to_pylist(), t["text"], t["class"].to_pylist(), t["asked"].to_pylist(), strict=True):
             if (node, skey) in seen:
+                asked[seen[node, skey]] |= asks
                 continue
             s = shingle_set(text.as_py())
             # Of rows that share the id with the set's row, another text's is not meant.
             if xxhash.xxh3_128_digest(s.tobytes()) == skey:
-                seen.add((node, skey))
+                seen[node, skey] = len(sets)
                 sets.append(s)
                 own.append(node)
                 known.append(class_)
-        return [(own[i], own[j]) for i, j in links(sets, percent, known)] if len(sets) > 1 else []
+                asked.append(asks)
+        return [(own[i], own[j]) for i, j in links(sets, percent, known, asked)] if len(sets) > 1 else []
 
     rows = texts.select("group", "node", F.octet_length("text").alias("weight"), "skey", "text")
-    return groups.linked(materialize(rows, "candidate-texts"), of_unit, forget=forget)
+    return groups.linked(materialize(rows, "candidate-texts"), of_unit, 2 * groups.UNIT, forget)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -112,3 +112,41 @@ def test_shingles():
     assert len(shingle_set("a b c d e f")) == 2 and len(shingle_set("a b")) == 1 and not len(shingle_set(" \n"))
     assert (shingle_set("A b c d e") == shingle_set("a B\tc\nd e ")).all()
     assert shingle_set("a b c d e")[0] != shingle_set("b a c d e")[0]
+
+
+def test_links_of_asked_sets_and_of_those_that_share_enough():
+    rng = np.random.default_rng(7)
+    for percent in (50, 80, 100) * 8:
+        base = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 90)), dtype=np.uint64))
+        sets = [np.unique(np.append(base[rng.random(len(base)) > rng.choice([0, 0.03, 0.1, 0.2])], rng.integers(0, 1 << 62, rng.integers(1, 9), dtype=np.uint64))) for _ in range(40)]
+        known = [int(x) if x < 3 else None for x in rng.integers(0, 20, 40)]
+        asked = (rng.random(40) < 0.4).tolist()
+        alike = {(j, i) for i in range(40) for j in range(i) if (asked[i] or asked[j]) and 100 * len(both := set(sets[i].tolist()) & set(sets[j].tolist())) >= percent * (len(sets[i]) + len(sets[j]) - len(both))}
+        got = n.links(sets, percent, known, asked)
+        assert {(min(p), max(p)) for p in got} <= alike
+        one, other = n.groups.Classes(known), n.groups.Classes(known)
+        for classes, pairs in ((one, got), (other, alike)):
+            for i, j in pairs:
+                classes.join(i, j)
+        assert all((one.find(i) == one.find(j)) == (other.find(i) == other.find(j)) for i in range(40) for j in range(i))
+
+
+def test_keys_and_shares_of_a_large_group_are_dealt_out_in_rounds(spark, monkeypatch):
+    tables, dealt = [], []
+    compared, written = n.groups._compared, n.materialize
+    monkeypatch.setattr(n.groups, "_compared", lambda rows, *a: dealt.append(rows.count()) or compared(rows, *a))
+    rows = spark.range(80).selectExpr("1L AS group", "id AS node", "8388608 AS weight", "id % 37 AS v")
+
+    def of_unit(t):
+        x, v, asked = t["node"].to_pylist(), t["v"].to_pylist(), t["asked"].to_pylist()
+        return [(x[i], x[j]) for i in range(len(t)) for j in range(i) if v[i] == v[j] and (asked[i] or asked[j])]
+
+    got = connected_components(n.groups.linked(rows, of_unit)).collect()
+    assert sorted((r.node, r.component) for r in got if r.node != r.component) == [(i, i % 37) for i in range(37, 80)]
+    assert max(dealt) < 4 * 80  # some 1,500 at once before
+    texts = corpus(random.Random(13), families=3)
+    want = brute(texts)
+    monkeypatch.setattr(n, "ROUND_KEYS", 1)
+    monkeypatch.setattr(n, "materialize", lambda df, tag: tables.append(tag) or written(df, tag))
+    assert sorted(map(tuple, n.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()), key=str) == want
+    assert tables.count("alike") > 1
