@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 SIZE = 5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 60_000
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _words: dict[bytes, int] = {}
 
